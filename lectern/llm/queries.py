@@ -7,7 +7,9 @@ import importlib
 #: (query, module): a module holds the query's function under the same name.
 _QUERIES = (
     ("op3_sharding", "sharding"),
+    ("op8_packing", "packing"),
     ("op9_warc", "warc"),
+    ("op10_simhash", "simhash"),
 )
 
 
