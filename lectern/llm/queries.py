@@ -7,6 +7,8 @@ import importlib
 #: (query, module): a module holds the query's function under the same name.
 _QUERIES = (
     ("op3_sharding", "sharding"),
+    ("op6_sentencepiece", "sentence_pieces"),
+    ("op7_pii", "pii"),
     ("op8_packing", "packing"),
     ("op9_warc", "warc"),
     ("op10_simhash", "simhash"),
