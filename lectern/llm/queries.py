@@ -6,6 +6,7 @@ import importlib
 
 #: (query, module): a module holds the query's function under the same name.
 _QUERIES = (
+    ("op1_quality", "quality"),
     ("op2_language", "language"),
     ("op3_sharding", "sharding"),
     ("op6_sentencepiece", "sentence_pieces"),
