@@ -9,6 +9,7 @@ _QUERIES = (
     ("op1_quality", "quality"),
     ("op2_language", "language"),
     ("op3_sharding", "sharding"),
+    ("op4_vectors", "vectors"),
     ("op5_suffixes", "suffixes"),
     ("op6_sentencepiece", "sentence_pieces"),
     ("op7_pii", "pii"),
