@@ -26,21 +26,38 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import batches_of, column, cut, from_blobs, table, to_blob, utf8_length
+from ._shared import batches_of, column, cut, table, to_blob, utf8_length
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text that a part, and a bucket of runs, are planned for.
-PART_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+PART_BYTES, BUCKET_BYTES = 6 << 20, 3 << 20
 #: Parts that meet a hash before it is dealt on as single strings.
 HOT = 4096
 #: Bytes of the first buckets' prefixes.
 Q = 25
 #: Bytes of text that numpy works on at once; a longer document is cut there, with LENGTH - 1 bytes in common.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
+#: Bytes of text whose hashes are sent together, and that are packed together.
+SEND_BYTES, PACK_BYTES = 4 << 20, 16 << 20
+
+
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays as compressed bytes with 4 bytes for each one's length: little beside even one entry."""
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(b"".join([np.array([len(x) for x in raw], "<u4").tobytes(), *raw]))
+
+
+def _unpack(raw: bytes, *types: type | None) -> list[np.ndarray | bytes]:
+    """The arrays of `_pack`; a type of None leaves the bytes."""
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    ends = np.cumsum(np.append(4 * len(types), np.frombuffer(data, "<u4", len(types)).astype(np.int64))).tolist()
+    parts = [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    return [x if t is None else np.frombuffer(x, t) for x, t in zip(parts, types, strict=True)]
 
 
 def _words(buf: np.ndarray, n: int) -> np.ndarray:
@@ -195,8 +212,8 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 _TOLD = "part int, kind int, key long, data binary"
 _COPY, _WANTED, _HOT, _GONE = 0, 1, 2, 3
-_RUNS = pa.schema([("number", pa.int32()), ("least", pa.int64()), ("raw", pa.binary())])
-_RANGES = pa.schema([("number", pa.int32()), ("offset", pa.int32()), ("count", pa.int32())])
+#: What a part sends of runs (numbers, least ids, lengths, bytes) and hears of ranges (numbers, offsets, strings).
+_RUNS, _RANGES = (np.int32, np.int64, np.int32, None), (np.int32, np.int32, np.int32)
 
 
 def _hashes(parts: int, buckets: int):
@@ -204,7 +221,7 @@ def _hashes(parts: int, buckets: int):
     kind = np.uint16 if parts <= 1 << 16 else np.uint32
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches_of(batches, 16 << 20):
+        for t in batches_of(batches, SEND_BYTES):
             part = t["part"].to_numpy().astype(np.int64)
             row, _, _, h = runs([x.as_py() or b"" for x in t["text"]])
             if not len(h):
@@ -262,7 +279,7 @@ def _read(rows: pa.Table, told: pa.Table, buckets: int) -> tuple[pa.Table, list[
     gone: dict[int, list[tuple[int, int]]] = {}
     for w, x in zip(kind, told["data"], strict=True):
         if w == _GONE:
-            for no, off, n in zip(*(c.to_pylist() for c in pa.ipc.open_stream(x.as_buffer()).read_all().columns), strict=True):
+            for no, off, n in zip(*(c.tolist() for c in _unpack(x.as_py(), *_RANGES)), strict=True):
                 gone.setdefault(no, []).append((off, n))
     return t, ids, texts, part, copies, gone
 
@@ -325,7 +342,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     carried = docs.select(part.alias("part__"), doc_id.alias("doc_id__"), raw.alias("text__"), *(column(docs, c).alias(f"c{i}") for i, c in enumerate(others)))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches_of(batches, 32 << 20):
+        for t in batches_of(batches, PACK_BYTES):
             p = t["part__"].to_numpy()
             order = np.argsort(p, kind="stable")
             p, t = p[order], t.drop_columns("part__").take(pa.array(order))
@@ -340,26 +357,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if not rows.num_rows:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=names)
         *_, own, _, _ = _read(rows, told, buckets)
-        b = np.array(own.bucket, np.int64)
-        t = pa.Table.from_arrays([pa.array(range(len(b)), pa.int32()), pa.array(own.least, pa.int64()), pa.array(list(own.number), pa.binary())], schema=_RUNS)
+        b, least, raws = np.array(own.bucket, np.int64), np.array(own.least, np.int64), list(own.number)
+        lens = np.array([len(x) for x in raws], np.int32)
         order = np.argsort(b, kind="stable")
-        b, t = b[order], t.take(pa.array(order))
+        b = b[order]
         at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)).tolist() if len(b) else [0]
         number = rows["part"][0].as_py()
-        return pa.table([pa.array(b[at[:-1]], pa.int32()), pa.array([number] * (len(at) - 1), pa.int32()), pa.array([to_blob(t.slice(i, j - i)) for i, j in zip(at, at[1:])], pa.binary())], names=names)
+        return pa.table([pa.array(b[at[:-1]], pa.int32()), pa.array([number] * (len(at) - 1), pa.int32()), pa.array([_pack(o.astype(np.int32), least[o], lens[o], b"".join([raws[k] for k in o.tolist()])) for o in (order[i:j] for i, j in zip(at, at[1:]))], pa.binary())], names=names)
 
     def settle(t: pa.Table) -> pa.Table:
-        found = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["blob"]]
-        whose = np.repeat(np.array(t["part"].to_pylist()), [x.num_rows for x in found])
-        all_ = pa.concat_tables(found)
-        raws = all_["raw"].to_pylist()
-        least, number = all_["least"].to_numpy(), all_["number"].to_numpy()
-        lens = np.array([len(x) for x in raws])
+        found = [_unpack(x.as_py(), *_RUNS) for x in t["blob"]]
+        whose = np.repeat(np.array(t["part"].to_pylist()), [len(x[0]) for x in found])
+        number, least, lens = (np.concatenate([x[k] for x in found]) for k in range(3))
+        lens = lens.astype(np.int64)
+        data = b"".join(x[3] for x in found)
+        del found
         count = lens - LENGTH + 1
         base = np.cumsum(lens) - lens
-        run = np.repeat(np.arange(len(raws)), count)
+        run = np.repeat(np.arange(len(lens), dtype=np.int32), count)
         offset = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        bucket = refine(b"".join(raws), base[run] + offset)
+        bucket = refine(data, base[run] + offset)
         low = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, bucket, least[run])
         gone = np.flatnonzero(low[bucket] < least[run])
@@ -367,13 +384,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(gone)))
         head = gone[at] if len(at) else at
-        out = pa.Table.from_arrays([pa.array(number[run[head]], pa.int32()), pa.array(offset[head], pa.int32()), pa.array(n, pa.int32())], schema=_RANGES)
         p = whose[run[head]]
         order = np.argsort(p, kind="stable")
-        p, out = p[order], out.take(pa.array(order))
+        p, out = p[order], [x.astype(np.int32)[order] for x in (number[run[head]], offset[head], n)]
         at = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p)).tolist() if len(p) else [0]
         m = len(at) - 1
-        return pa.table([pa.array(p[at[:-1]], pa.int32()), pa.array([_GONE] * m, pa.int32()), pa.array([0] * m, pa.int64()), pa.array([to_blob(out.slice(i, j - i)) for i, j in zip(at, at[1:])], pa.binary())], names=["part", "kind", "key", "data"])
+        return pa.table([pa.array(p[at[:-1]], pa.int32()), pa.array([_GONE] * m, pa.int32()), pa.array([0] * m, pa.int64()), pa.array([_pack(*(x[i:j] for x in out)) for i, j in zip(at, at[1:])], pa.binary())], names=["part", "kind", "key", "data"])
 
     sent = packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(send, "bucket int, part int, blob binary")
     gone = sent.groupBy("bucket").applyInArrow(settle, _TOLD)
