@@ -1,10 +1,10 @@
 """SentencePiece models on the tokenizers library.
 
 `parse_model` reads the protobuf by its wire format; `build` makes a tokenizer with the model's normaliser, the metaspace
-marker, unigram scores (or, for BPE models, merges ordered by the scores of what they make) and byte fallback. A model's
-pieces never hold a marker or a line end after another character, so a text's ids are those of its marker-led units one
-after the other; units not met before are encoded in multithreaded batches and kept. `encode_documents` verifies parity
-with the sentencepiece library on every text.
+marker, unigram scores (or, for BPE models, merges ordered by the scores of what they make) and byte fallback. Where no
+piece of a model crosses between markers, line ends, letters and other characters but for leading markers, a text's ids are
+those of its units one after the other; units not met before are encoded in multithreaded batches and kept. Other models
+encode whole texts. `encode_documents` verifies parity with the sentencepiece library on every text.
 
 Cases: a null or empty text has no ids; a literal marker in a text is encoded as a space is, so only then does decoding not
 give the text back; repeated doc_ids are separate rows; an empty table gives an empty result; other columns are ignored.
@@ -16,8 +16,8 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Units kept by a worker; characters of text handled at once.
-CACHE, BLOCK = 300_000, 1 << 20
+CACHE, BLOCK = 400_000, 1 << 20
+#: A unit: markers with Latin letters or with other characters after them, markers alone, or a line end.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+UNIT = f"{MARK}*[{LETTERS}]+|{MARK}*[^{MARK}\n{LETTERS}]+|{MARK}+|\n"
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,7 +118,7 @@ def build(m: dict, normalise: bool = True) -> Tokenizer:
             steps.append(normalizers.Prepend(MARK))
         t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     if separable(m):
-        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"), behavior="isolated")
+        t.pre_tokenizer = pre_tokenizers.Split(Regex(UNIT), behavior="isolated")
     steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     t.decoder = decoders.Sequence([*steps, *([decoders.Strip(" ", 1, 0)] if m["dummy_prefix"] else [])])
     t.add_special_tokens([AddedToken(p, normalized=False, special=True) for p, _, kind in m["pieces"] if kind in (UNKNOWN, CONTROL)])
@@ -124,8 +127,8 @@ def build(m: dict, normalise: bool = True) -> Tokenizer:
 
 
 def separable(m: dict) -> bool:
-    """Whether no piece crosses from another character to a marker, or to or from a line end."""
-    return not any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S) for p, _, kind in m["pieces"] if kind in (NORMAL, USER_DEFINED))
+    """Whether every piece lies within one unit. Without byte fallback, unknown characters of neighbouring units join."""
+    return m["byte_fallback"] and all(re.fullmatch(UNIT, p) for p, _, kind in m["pieces"] if kind in (NORMAL, USER_DEFINED))
 
 
 class PieceEncoder:
@@ -138,24 +141,39 @@ class PieceEncoder:
         self.tokenizer, self.units = build(self.model), build(self.model, normalise=False)
         self.direct = not separable(self.model) or self.model["charsmap"] or self.model["squeeze"]
         self.kept: dict[str, bytes] = {}
-        self.split = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
+        self.split = re.compile(UNIT).findall
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in self.model["pieces"]]
 
     def _batch(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, units: list[str]) -> None:
+        """Keeps the units' ids. Between line ends they are encoded many at once; a line end's ids occur nowhere else."""
+        end = self._batch(self.units, ["\n"])[0]
+        groups = [units[i : i + 1024] for i in range(0, len(units), 1024)]
+        for group, raw in zip(groups, self._batch(self.units, ["\n".join(x for x in g if x != "\n") for g in groups]), strict=True):
+            group = [x for x in group if x != "\n"]
+            ids = np.frombuffer(raw, "<u4")
+            at = np.flatnonzero(ids == np.frombuffer(end, "<u4")[0]) if len(end) == 4 else []
+            if len(at) == len(group) - 1:
+                ends = np.concatenate([[-1], at, [len(ids)]]) * 4
+                self.kept.update((x, raw[i + 4 : j]) for x, i, j in zip(group, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            else:
+                self.kept.update(zip(group, self._batch(self.units, group), strict=True))
+        self.kept["\n"] = end
+
     def _finish(self, held: list[str]) -> Iterator[bytes]:
         if self.direct:
             yield from self._batch(self.tokenizer, held)
             return
-        split = [self.split((MARK if self.model["dummy_prefix"] else "") + x.replace(" ", MARK)) if x else [] for x in held]
-        seen = set(chain.from_iterable(split))
-        new = [x for x in seen if x not in self.kept]
+        prefix = MARK if self.model["dummy_prefix"] else ""
+        split = [self.split(prefix + x.replace(" ", MARK)) if x else [] for x in held]
+        seen = set().union(*split)
+        new = seen.difference(self.kept)
         if len(self.kept) + len(new) > CACHE:
             self.kept.clear()
-            new = list(seen)
-        for i in range(0, len(new), 8192):
-            self.kept.update(zip(new[i : i + 8192], self._batch(self.units, new[i : i + 8192]), strict=True))
+            new = seen
+        self._learn(list(new))
         for units in split:
             yield b"".join(map(self.kept.__getitem__, units))
 
@@ -170,8 +188,8 @@ class PieceEncoder:
                 held, size = [], 0
         yield from self._finish(held)
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.model["dummy_prefix"] and text[:1] == " " else text
 
 
@@ -199,12 +217,13 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             out: tuple[list, ...] = ([], [], [], [])
             ids: list[np.ndarray] = []
             for text, raw in zip(texts, enc.encode_all(texts), strict=True):
-                got = np.frombuffer(raw, "<u4")
-                parity = got.tobytes() == np.asarray(other.encode(text), "<u4").tobytes()
+                theirs = other.encode(text)
+                parity = array("I", theirs).tobytes() == raw
+                got = theirs if parity else np.frombuffer(raw, "<u4").tolist()
                 for col, v in zip(out, (len(got), zlib.crc32(raw), parity, enc.decode(got) == text), strict=True):
                     col.append(v)
                 if with_ids:
-                    ids.append(got.astype(np.int32))
+                    ids.append(np.array(got, np.int32))
             cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.bool_())]
             names = ["doc_id", "n_ids", "ids_crc32", "parity", "round_trip"]
             if with_ids:
@@ -223,7 +242,7 @@ def decode_documents(encoded: DataFrame, path: str, *, id_col: str = "doc_id", i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = _held(path)
         for b in batches:
-            texts = [None if x.as_py() is None else enc.decode(np.asarray(x.as_py(), np.int64)) for x in b.column(1)]
+            texts = [None if x.as_py() is None else enc.decode(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = encoded.select(column(encoded, id_col).alias("doc_id"), column(encoded, ids_col).alias("ids"))
