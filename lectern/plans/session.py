@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,12 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the folder that driver and executors share, so that it is neither recomputed nor lost."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
+        sc.setCheckpointDir(found)
+    return df.checkpoint()
