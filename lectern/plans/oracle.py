@@ -115,7 +115,8 @@ TITLE = "coalesce(nullif(name, ''), nullif(nickname, ''), '(unnamed)')"
 
 
 def tokens(x: str) -> str:
-    return rf"""(case when {x} = '' then 0 else greatest({half_even(f"133 * len(regexp_extract_all({x}, '[^\s]+'))", '100')}, {half_even(f"length({x})", '4')}, case when {present(x)} then 1 else 0 end) end)::bigint"""
+    words = f"133 * len(regexp_extract_all({x}, '[^\\s]+'))"
+    return f"""(case when {x} = '' then 0 else greatest({half_even(words, '100')}, {half_even(f"length({x})", '4')}, case when {present(x)} then 1 else 0 end) end)::bigint"""
 
 
 SUMMARY = f"""select count(*)::bigint as total_cards, {count('multi_character')} as multi_character_cards, {count('has_example')} as cards_with_example, {count('has_first_mes')} as cards_with_first_mes,

@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch. Rows here hold whole texts; Spark's own default of 10,000 would hold many MB of them twice over.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, whose Python workers import it; once for each application."""
+    """Sends the package to the executors, whose Python workers import it; once for each application. Also sets smaller Arrow
+    batches in a session that has Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH[0], BATCH[1]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
