@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,10 +134,10 @@ def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in frames:
-            seq, off = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-            length, rank = t["length"].to_numpy(), t["rank"].to_numpy()
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq, off = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
                 p = places.value[int(x)]
@@ -146,9 +145,9 @@ def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
                 nth = rank[at] - row[:, 0]
                 seq[at] = row[:, 1] + nth // row[:, 2]
                 off[at] = row[:, 3] + nth % row[:, 2] * x
-            yield t.drop(columns="rank").assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, **names: str) -> DataFrame:

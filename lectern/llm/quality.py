@@ -26,7 +26,6 @@ from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,7 +137,7 @@ def _parameters(location: np.ndarray, scatter: np.ndarray) -> list[float]:
     return [*location.tolist(), *(float(inverse[i, j]) * (1 if i == j else 2) for i, j in _PAIRS), float(np.linalg.slogdet(scatter)[1])]
 
 
-def _moments(sums: pd.Series | dict, factor: float) -> list[float]:
+def _moments(sums: dict, factor: float) -> list[float]:
     n = float(sums["n"])
     mean = np.array([sums[f"s{i}"] / n for i in range(P)]) / SCALE
     scatter = np.zeros((P, P))
@@ -147,6 +146,10 @@ def _moments(sums: pd.Series | dict, factor: float) -> list[float]:
     return _parameters(mean, factor * scatter)
 
 
+def _one(key: str, start: int, params: list[float]) -> pa.Table:
+    return pa.table({"fit": pa.array([key]), "start": pa.array([start], pa.int32()), **{c: pa.array([x], pa.float64()) for c, x in zip(_PARAMS, params, strict=True)}})
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of the row's vector for the parameters beside it."""
     d = [F.col(NAMES[i]) / F.lit(float(SCALE)) - F.col(f"m{i}") for i in range(P)]
@@ -167,7 +170,7 @@ def _join(rows: DataFrame, small: DataFrame, n_small: int, keys: list[str]) -> D
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", *NAMES), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
 
 
-def _medians(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+def _medians(t: pa.Table) -> pa.Table:
     """First parameters from counts of values by coordinate: medians and scaled median absolute deviations."""
 
     def middle(value: np.ndarray, count: np.ndarray) -> float:
@@ -175,25 +178,25 @@ def _medians(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         total = np.cumsum(count[order])
         return float(value[order][np.searchsorted(total, (total[-1] + 1) // 2)])
 
+    axis, values, counts = (t[c].to_numpy() for c in ("axis", "value", "n"))
     location, spread = np.zeros(P), np.zeros(P)
     for i in range(P):
-        own = t[t["axis"] == i]
-        value, count = own["value"].to_numpy(np.float64), own["n"].to_numpy(np.int64)
+        value, count = values[axis == i].astype(np.float64), counts[axis == i]
         location[i] = middle(value, count)
         spread[i] = 1.4826 * middle(np.abs(value - location[i]), count)
-    return pd.DataFrame([[key[0], 0, *_parameters(location / SCALE, np.diag((spread / SCALE) ** 2))]], columns=["fit", "start", *_PARAMS])
+    return _one(t["fit"][0].as_py(), 0, _parameters(location / SCALE, np.diag((spread / SCALE) ** 2)))
 
 
-def _concentrate(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+def _concentrate(t: pa.Table) -> pa.Table:
     """Next parameters from the sums of distance classes: the nearest that hold SUBSET of the rows."""
-    t = t.sort_values("near")
-    total = t["n"].cumsum().to_numpy()
+    t = t.sort_by("near")
+    total = np.cumsum(t["n"].to_numpy())
     last = int(np.searchsorted(total, math.ceil(SUBSET * total[-1])))
-    return pd.DataFrame([[key[0], key[1], *_moments(t.iloc[: last + 1][_SUMS].sum(), CONSISTENCY)]], columns=["fit", "start", *_PARAMS])
+    return _one(t["fit"][0].as_py(), t["start"][0].as_py(), _moments({c: int(t[c].to_numpy()[: last + 1].sum()) for c in _SUMS}, CONSISTENCY))
 
 
-def _plain(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([[key[0], 1, *_moments(t[_SUMS].sum(), 1.0)]], columns=["fit", "start", *_PARAMS])
+def _plain(t: pa.Table) -> pa.Table:
+    return _one(t["fit"][0].as_py(), 1, _moments({c: t[c][0].as_py() for c in _SUMS}, 1.0))
 
 
 def fit(rows: DataFrame) -> DataFrame:
@@ -201,14 +204,14 @@ def fit(rows: DataFrame) -> DataFrame:
     schema = f"fit string, start int, {_PARAM_TYPES}"
     axes = F.explode(F.array(*(F.struct(F.lit(i).alias("axis"), F.col(c).alias("value")) for i, c in enumerate(NAMES)))).alias("a")
     values = rows.select("fit", axes).groupBy("fit", F.col("a.axis").alias("axis"), F.col("a.value").alias("value")).agg(F.count("*").alias("n"))
-    first = values.groupBy("fit").applyInPandas(_medians, schema)
-    plain = rows.groupBy("fit").agg(*_sums()).groupBy("fit").applyInPandas(_plain, schema)
+    first = values.groupBy("fit").applyInArrow(_medians, schema)
+    plain = rows.groupBy("fit").agg(*_sums()).groupBy("fit").applyInArrow(_plain, schema)
     params = cut(first.unionByName(plain))
     n = params.count()
     near = F.floor(16 * F.log(_distance() + F.lit(1e-9))).cast("int")
     for _ in range(MAX_STEPS):
         sums = _join(rows, params, n, ["fit"]).select("fit", "start", near.alias("near"), *NAMES).groupBy("fit", "start", "near").agg(*_sums())
-        after = cut(sums.groupBy("fit", "start").applyInPandas(_concentrate, schema))
+        after = cut(sums.groupBy("fit", "start").applyInArrow(_concentrate, schema))
         moved = after.select("fit", "start", F.col("det").alias("to")).join(params, ["fit", "start"]).where(F.abs(F.col("to") - F.col("det")) > 1e-9)
         params, settled = after, moved.isEmpty()
         if settled:

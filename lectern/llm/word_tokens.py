@@ -19,8 +19,8 @@ LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ž"
 SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}¡«»¿–—‘’“”…€]*")
 #: The vocabulary's own splitting rule, for SIMPLE texts in lower case.
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r0-9{LETTERS}]+").findall
-#: Pieces kept by a worker; at most about 100 MB.
-CACHE = 400_000
+#: Pieces kept by a worker; at most about 50 MB.
+CACHE = 200_000
 #: Characters of text that are split at once.
 BLOCK = 1 << 20
 
@@ -35,8 +35,8 @@ class WordEncoder:
     def _learn(self, pieces: set[str]) -> None:
         new = [x for x in pieces if x not in self.kept]
         if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-            new = list(pieces)
+            # What these texts use stays: mostly the frequent pieces.
+            self.kept = {x: self.kept[x] for x in pieces.intersection(self.kept)}
         for i in range(0, len(new), 4096):
             # Joined by spaces, the pieces are split again where they were; word_ids tells whose each id is.
             some = new[i : i + 4096]
