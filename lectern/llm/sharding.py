@@ -8,7 +8,7 @@ The number of differenced items has a fixed bound whatever the input: with T = t
 least T bytes is an item of its own, and smaller groups are bundled by hash into items of about T bytes. There are at most
 about `max_items` of each kind, so one task can difference them all and the result may be broadcast.
 
-Cases: a null text has no bytes and all null texts are one group; size is bytes plus 1, so rows without text still count;
+Cases: a null text has no bytes and is in one group with the empty ones; size is bytes plus 1, so rows without text still count;
 an empty table gives an empty result; repeated doc_ids are separate rows; other columns are ignored.
 """
 
@@ -74,7 +74,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id"
         column(docs, id_col).alias("doc_id"),
         (utf8_length(text) + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2(text.cast("binary"), 256))).alias("group"),
+        F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).alias("group"),
     ))
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"))
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
