@@ -25,17 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from ._shared import column, table
+from .word_tokens import BLOCK, TOGETHER, UnitCache, encode_units, in_blocks, split_ids
 
 MARK = "▁"
 #: Kinds of pieces and of models, as the protobuf numbers them.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Units kept by a worker; characters of text handled at once.
-CACHE, BLOCK = 400_000, 1 << 20
 #: A unit: markers with Latin letters or with other characters after them, markers alone, or a line end.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNIT = f"{MARK}*[{LETTERS}]+|{MARK}*[^{MARK}\n{LETTERS}]+|{MARK}+|\n"
 
+#: Texts that the byte classes are right for: no null byte, no literal marker, letters of two bytes at most.
+PLAIN = re.compile("[\x01-\x7fÀ-ÖØ-öø-ȿ]*")
+_SPACE, _LETTER, _OTHER, _END = range(4)
+_CLASS = np.full(256, _LETTER, np.uint8)
+_CLASS[[x for x in range(128) if not chr(x).isalpha()]] = _OTHER
+_CLASS[32], _CLASS[10] = _SPACE, _END
+
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Field numbers and values of a protobuf message."""
@@ -140,53 +146,51 @@ class PieceEncoder:
         self.model = parse_model(raw)
         self.tokenizer, self.units = build(self.model), build(self.model, normalise=False)
         self.direct = not separable(self.model) or self.model["charsmap"] or self.model["squeeze"]
-        self.kept: dict[str, bytes] = {}
+        self.cache = UnitCache(self._encode)
         self.split = re.compile(UNIT).findall
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in self.model["pieces"]]
 
     def _batch(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        """Keeps the units' ids. Between line ends they are encoded many at once; a line end's ids occur nowhere else."""
-        end = self._batch(self.units, ["\n"])[0]
-        groups = [units[i : i + 1024] for i in range(0, len(units), 1024)]
-        for group, raw in zip(groups, self._batch(self.units, ["\n".join(x for x in g if x != "\n") for g in groups]), strict=True):
-            group = [x for x in group if x != "\n"]
-            ids = np.frombuffer(raw, "<u4")
-            at = np.flatnonzero(ids == np.frombuffer(end, "<u4")[0]) if len(end) == 4 else []
-            if len(at) == len(group) - 1:
-                ends = np.concatenate([[-1], at, [len(ids)]]) * 4
-                self.kept.update((x, raw[i + 4 : j]) for x, i, j in zip(group, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-            else:
-                self.kept.update(zip(group, self._batch(self.units, group), strict=True))
-        self.kept["\n"] = end
-
-    def _finish(self, held: list[str]) -> Iterator[bytes]:
-        if self.direct:
-            yield from self._batch(self.tokenizer, held)
-            return
+    def _encode(self, units: list[str]) -> Iterator[bytes]:
+        """Many units at once: a line end is a unit of its own, and its id occurs nowhere else."""
+        units = [x.replace(" ", MARK) for x in units]
+        mark = self._batch(self.units, ["\n"])[0]
+        groups = [units[i : i + TOGETHER] for i in range(0, len(units), TOGETHER)]
+        for group, raw in zip(groups, self._batch(self.units, ["\n".join(g) for g in groups]), strict=True):
+            yield from split_ids(raw, mark, len(group)) or self._batch(self.units, group)
+
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Units of plain texts by the classes of their bytes; a space stands for a marker."""
+        raws = [((" " if self.model["dummy_prefix"] else "") + x).encode() if x else b"" for x in texts]
+        data = b"".join(raws)
+        begin = np.cumsum([0, *(len(x) for x in raws[:-1])])
+        kind = _CLASS[np.frombuffer(data, np.uint8)]
+        before = np.append(kind[:1], kind[:-1])
+        # A unit starts at a line end, at the first of several markers, and where a class follows another but a marker.
+        new = (kind == _END) | (kind != before) & (before != _SPACE)
+        new[begin[begin < len(new)]] = True
+        starts = np.flatnonzero(new)
+        yield from encode_units(data, starts, np.append(starts[1:], len(kind)), begin, self.cache)
+
+    def _other(self, text: str) -> bytes:
         prefix = MARK if self.model["dummy_prefix"] else ""
-        split = [self.split(prefix + x.replace(" ", MARK)) if x else [] for x in held]
-        seen = set().union(*split)
-        new = seen.difference(self.kept)
-        if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-            new = seen
-        self._learn(list(new))
-        for units in split:
-            yield b"".join(map(self.kept.__getitem__, units))
+        return b"".join(self.cache.ids([x.encode() for x in self.split(prefix + text.replace(" ", MARK))]))
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        if not self.direct:
+            yield from in_blocks(texts, PLAIN.fullmatch, self._plain, self._other)
+            return
         held: list[str] = []
         size = 0
         for x in texts:
             held.append(x)
             size += len(x)
             if size > BLOCK:
-                yield from self._finish(held)
+                yield from self._batch(self.tokenizer, held)
                 held, size = [], 0
-        yield from self._finish(held)
+        yield from self._batch(self.tokenizer, held)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
