@@ -8,7 +8,8 @@ every document, different values get different ones, and whoever has the key can
 | kind | valid if | domain that is permuted |
 |-|-|-|
 | card | 13 to 19 digits with a right Luhn sum | digits between the first and the check digit, which is made anew |
-| phone | 3 + 3 + 4 digits, country code allowed | the ten digits |
+| phone | 3 + 3 + 4 digits, country code allowed, or + and 8 to 15 digits | the last ten digits, of fewer all but the first |
+| iban | a right remainder by 97 | the account part's digits; check digits are made anew |
 | ssn | number ranges as issued | area, group and serial in those ranges |
 | ip | four octets | all of them |
 | date | a day from 1000 to 2099, Y-M-D or D-M-Y (else M-D-Y) | the days of its century |
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._shared import column, table
 
-KINDS = ("email", "ip", "date", "ssn", "phone", "card", "secret")
+KINDS = ("email", "ip", "date", "ssn", "phone", "card", "iban", "secret")
 #: A key for tests and examples; a caller with private data passes its own.
 EXAMPLE_KEY = "lectern-example-key"
 ROUNDS = 10
@@ -40,9 +41,10 @@ _PATTERNS = {
     "ip": f"(?<![0-9])(?<![0-9][.])(?:{_OCTET}[.]){{3}}{_OCTET}(?![0-9])(?![.][0-9])",
     "date": f"(?<![0-9])(?:{_YEAR}([-/.])[0-9]{{2}}\\1[0-9]{{2}}|[0-9]{{2}}([-/.])[0-9]{{2}}\\2{_YEAR})(?![0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": "(?<![0-9A-Za-z])(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{3}[)][ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": "(?<![0-9A-Za-z])(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{3}[)][ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])[+][0-9]{8,15}(?![0-9])",
     "card": "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\\3[0-9]{4}\\3[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "secret": "(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 PATTERN = "|".join(f"(?:{x})" for x in _PATTERNS.values())
 
@@ -77,7 +79,9 @@ def _number(kind: str, key: str) -> str:
         new = _with("f", _feistel(key, kind, "length(d)", f"substr(d, 2, {u})", f"substr(d, 2 + {u}, {v})", ten(u), ten(v)), f"concat(substr(d, 1, 1), lpad(f.a, {u}, '0'), lpad(f.b, {v}, '0'))")
         return f"if(({luhn(body)} + int(right(d, 1))) % 10 = 0, {_with('n', new, f'concat(n, (10 - {luhn("n")} % 10) % 10)')}, null)"
     if kind == "phone":
-        return _with("f", _feistel(key, kind, "10", "substr(right(d, 10), 1, 5)", "right(d, 5)", "100000", "100000"), "concat(substr(d, 1, length(d) - 10), lpad(f.a, 5, '0'), lpad(f.b, 5, '0'))")
+        k = "if(length(d) >= 10, 10, length(d) - 1)"
+        u, v = f"(({k} + 1) div 2)", f"({k} div 2)"
+        return _with("f", _feistel(key, kind, k, f"substr(right(d, {k}), 1, {u})", f"right(d, {v})", ten(u), ten(v)), f"concat(substr(d, 1, length(d) - {k}), lpad(f.a, {u}, '0'), lpad(f.b, {v}, '0'))")
     if kind == "ssn":
         area, group, serial = "int(substr(d, 1, 3))", "int(substr(d, 4, 2))", "int(substr(d, 6, 4))"
         rank = f"(({area} - 1 - if({area} > 666, 1, 0)) * 99 + {group} - 1)"  # areas 1 to 899 but 666
@@ -98,6 +102,15 @@ def _replacement(kind: str, key: str) -> str:
     if kind == "ip":
         o = lambda i: f"int(split(m, '[.]')[{i}])"
         return _with("f", _feistel(key, kind, "4", f"{o(0)} * 256 + {o(1)}", f"{o(2)} * 256 + {o(3)}", "65536", "65536"), "concat_ws('.', f.a div 256, f.a % 256, f.b div 256, f.b % 256)")
+    if kind == "iban":
+        # The remainder of the letters (A is 10) and digits from the fifth on, then of the first four.
+        turned = lambda x: f"concat(substr(replace({x}, ' ', ''), 5), substr(replace({x}, ' ', ''), 1, 4))"
+        rest = lambda x: _with("w", turned(x), "aggregate(sequence(1, length(w)), 0, (r, i) -> if(substr(w, i, 1) < 'A', r * 10 + int(substr(w, i, 1)), r * 100 + ascii(substr(w, i, 1)) - 55) % 97)")
+        n = "(length(d) - 2)"
+        u, v = f"(({n} + 1) div 2)", f"({n} div 2)"
+        digits = _with("f", _feistel(key, kind, n, f"substr(d, 3, {u})", f"right(d, {v})", f"rpad('1', {u} + 1, '0')", f"rpad('1', {v} + 1, '0')"), f"concat('00', lpad(f.a, {u}, '0'), lpad(f.b, {v}, '0'))")
+        made = _with("n", digits, _with("z", _in_place("n"), f"concat(substr(z, 1, 2), lpad(98 - {rest('z')}, 2, '0'), substr(z, 5))"))
+        return f"if(length(d) >= 4 and {rest('m')} = 1, {made}, null)"
     if kind == "date":
         # A century has 36524 = 92 * 397 days, or 36525 = 75 * 487 if divisible by 400.
         q = "if((year(t) div 100) % 4 = 0, 487, 397)"
@@ -123,7 +136,7 @@ def _kind() -> str:
     return (
         "case when m like '%@%' then 'email' when m rlike '^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}$' then 'ip' "
         "when m rlike '^[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}$' or m rlike '^[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}$' then 'date' "
-        "when m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' then 'ssn' when m rlike '^[0-9a-fA-F]{32,64}$' then 'secret' "
+        "when m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' then 'ssn' when m rlike '^[0-9a-fA-F]{32,64}$' then 'secret' when m rlike '^[A-Z]' then 'iban' "
         "when m rlike '^[0-9]{13,19}$' or m rlike '^[0-9]{4}[ -]' then 'card' else 'phone' end"
     )
 

@@ -399,7 +399,7 @@ def test_pii_text(spark, odd, none):
     assert got[1]["text"] == got[3]["text"] and got[2]["text"] == bad
     private = ["4111111111111111", "(017) 555-7713", "233.254.104.120", "a.b_19@", "123-45-6789", "2020-02-29", "29.02.2020", "12/31/1999", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
     assert all(x in good and x not in got[1]["text"] for x in private) and "+1 (" in got[1]["text"]  # the country code is no private value
-    assert {k: got[1][f"n_{k}"] for k in pii.KINDS} == {"email": 1, "ip": 1, "date": 3, "ssn": 1, "phone": 1, "card": 1, "secret": 1}
+    assert {k: got[1][f"n_{k}"] for k in pii.KINDS} == {"email": 1, "ip": 1, "date": 3, "ssn": 1, "phone": 1, "card": 1, "iban": 0, "secret": 1}
     other = pii.pseudonymise(spark.createDataFrame([(1, good)], "doc_id long, text string"), key="another's").first()
     assert other["text"] != got[1]["text"]
     rows = {r["doc_id"]: r for r in pii.pseudonymise(odd).collect()}
@@ -407,6 +407,37 @@ def test_pii_text(spark, odd, none):
     assert pii.pseudonymise(odd).columns.count("n_email") == 1
 
 
+def iban_rest(m):
+    s = m.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_ibans_and_plain_phones(spark):
+    rng = random.Random(13)
+    ibans = []
+    for country, n in (("DE", 18), ("GB", 18), ("FR", 23), ("NO", 11)):
+        for _ in range(15):
+            body = "".join(rng.choices("0123456789" if country != "GB" else "0123456789ABC", k=n))
+            check = 98 - iban_rest(f"{country}00{body}")
+            ibans.append(f"{country}{check:02d}{body}")
+    ibans += [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in ibans]
+    wrong = [x[:2] + f"{(int(x[2:4]) + 1) % 100:02d}" + x[4:] for x in ibans[:10]]
+    phones = ["+17435553824", "+4420794609", "+12345678"]
+    rows = list(enumerate([f"<{m}>" for m in ibans + wrong + phones]))
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, m in enumerate(ibans):
+        new = got[i]["text"][1:-1]
+        assert new != m and iban_rest(new) == 1 and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", m) and got[i]["n_iban"] == 1
+    k = len(ibans) // 2
+    assert all(got[i]["text"].replace(" ", "") == got[i + k]["text"].replace(" ", "") for i in range(k))
+    assert all(got[2 * k + i]["text"] == f"<{m}>" for i, m in enumerate(wrong))
+    for i, m in enumerate(phones, 2 * k + len(wrong)):
+        assert got[i]["n_phone"] == 1 and got[i]["text"] != f"<{m}>" and len(got[i]["text"]) == len(m) + 2
+    same = pii.pseudonymise(spark.createDataFrame([(1, "+1 (743) 555-3824 +17435553824")], "doc_id long, text string")).first()["text"]
+    one, two = same.rsplit(" ", 1)
+    assert re.sub("[^0-9]", "", one) == re.sub("[^0-9]", "", two)
+
+
 def test_pii_plan_has_no_python(spark, odd):
     plan = pii.pseudonymise(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
