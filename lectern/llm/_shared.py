@@ -58,16 +58,7 @@ def to_blob(batch: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def from_blobs(blobs: Iterable, schema: pa.Schema) -> pa.Table:
-    """The tables of `to_blob`, one after the other."""
-    parts = []
-    for x in blobs:
-        if x is not None:
-            parts.append(pa.ipc.open_stream(pa.py_buffer(x.as_buffer() if isinstance(x, pa.Scalar) else x)).read_all())
-    return pa.concat_tables(parts) if parts else schema.empty_table()
-
-
-def batches_of(batches: Iterable[pa.RecordBatch], max_bytes: int, text: str = "text") -> Iterator[pa.Table]:
+def batches_of(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
     """Arrow batches joined up to about `max_bytes`; a batch above it is halved until one row is left."""
     held: list[pa.RecordBatch] = []
     size = 0

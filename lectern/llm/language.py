@@ -4,8 +4,9 @@ Each language's raw-content zstandard dictionary is cut from a bounded sample of
 compressed in blocks with every dictionary (all blocks, so whole texts count), and the smallest total wins. Where the runner-up is
 closer than `MARGIN` the verdict is marked as rejected; the nearest language is still named.
 
-The sample is the rows with the smallest hashes of doc_id, `SAMPLE_ROWS` for each language, each giving at most
-`EXCERPT` bytes, up to `DICTIONARY` bytes: the only bounded part, as a fit on labelled rows may be.
+The sample is the rows whose hash of doc_id is below a language's share, about `SAMPLE_ROWS` for each of the `MAX_LANGUAGES` most
+frequent languages, each giving at most `EXCERPT` bytes, up to `DICTIONARY` bytes: the only bounded part, as a fit on labelled
+rows may be.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows without a language or with a held-out hash are not
 learned from; equal sizes go to the first language by name; if nothing can be learned every row is `und`; repeated doc_ids
@@ -19,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import column, table
@@ -27,6 +28,8 @@ from ._shared import column, table
 UNDETERMINED = "und"
 #: Bounds of what is learned from, for each language.
 SAMPLE_ROWS, EXCERPT, DICTIONARY = 400, 1024, 96 << 10
+#: Languages that are learned at most; values that hashes are taken to.
+MAX_LANGUAGES, _SPACE = 500, 1 << 30
 #: Bytes of a block; smaller blocks lean more on the dictionary.
 BLOCK = 2048
 #: A lead over the runner-up, as a share of its size, below which a verdict is rejected.
@@ -45,10 +48,14 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """A dictionary's bytes for each language of the rows that are not held out."""
     doc_id, lang, text = column(docs, id_col), column(docs, lang_col), column(docs, text_col)
     known = docs.where(~held_out(doc_id) & lang.isNotNull() & (lang != UNDETERMINED) & text.isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    # Row numbers below a bound are pruned before the shuffle, so a language's rows never gather in one task.
-    ids = known.select(doc_id.alias("id"), lang.alias("lang"), F.xxhash64(doc_id).alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_rows)
-    rows = known.select(doc_id.alias("id"), text.alias("text")).join(F.broadcast(ids), "id").select("lang", "h", "id", F.substring("text", 1, EXCERPT).alias("text")).collect()
+    counts = known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return {}
+    # A row is taken if its id's hash is below the language's share: no language's rows meet in one task.
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(_SPACE, _SPACE * sample_rows // r["n"])) for r in counts], "lang string, below long")
+    place = F.pmod(F.xxhash64("id"), F.lit(_SPACE))
+    rows = known.select(doc_id.alias("id"), lang.alias("lang"), text.alias("text")).join(F.broadcast(limits), "lang").where(place < F.col("below"))
+    rows = rows.select("lang", place.alias("h"), "id", F.substring("text", 1, EXCERPT).alias("text")).limit(4 * sample_rows * len(counts)).collect()
     found: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["id"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"].lower().encode("utf-8", "ignore")[:EXCERPT])
