@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import column, cut, new_path, shuffle_partitions, table
+from ._shared import column, cut, new_path, table
 
 #: Payloads shorter than this are never deduplicated.
 MIN_REVISIT_BYTES = 100
@@ -169,7 +169,8 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
     # Notes on copies travel beside the pages and stand before them in each shard's order, so payloads move once.
     notes = again.select(shard.alias("shard"), "page_id", F.lit(0).alias("kind"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first_id")
     full = rows.select(shard.alias("shard"), "page_id", F.lit(1).alias("kind"), F.unhex(F.sha2("payload", 256)).alias("digest"), "url", "payload", F.lit(None).cast("long").alias("first_id"))
-    both = full.unionByName(notes).repartition(min(shards, shuffle_partitions(spark) * 64), "shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    # A shard is a task: shard numbers are the partitions' own, so that no two shards meet by chance of a hash.
+    both = full.unionByName(notes).repartitionById(shards + 1, (F.col("shard") + 1).cast("int")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = uuid.uuid4().hex
