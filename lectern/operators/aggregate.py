@@ -86,9 +86,9 @@ def section_names(features: DataFrame) -> DataFrame:
     # A name's first place in its card, found within the row: no shuffle by card is needed.
     once = F.filter(first, lambda s: F.array_position(F.transform(first, lambda t: F.lower(t["name"])), F.lower(s["name"])) == s["i"] + 1)
     seen = own.select("ord", F.explode(once).alias("s")).select("ord", "s.name", "s.at", "s.i")
-    total = own.agg(F.count("*").alias("total"))
+    total = own.count()
     by_name = seen.groupBy("name").agg(F.count("*").alias("cards"), F.avg("at").alias("position"), F.min(F.struct("ord", "i")).alias("first_seen"))
-    kept = by_name.crossJoin(F.broadcast(total)).where((c("cards") >= P.COMMON_SHARE * c("total")) & (c("cards") >= P.MIN_SECTION_NAME_CARDS))
+    kept = by_name.where((c("cards") >= P.COMMON_SHARE * total) & (c("cards") >= P.MIN_SECTION_NAME_CARDS))
     place = F.row_number().over(Window.orderBy("position", "first_seen"))  # of the few names at or above the share
     return kept.select("name", "cards", F.round("position", 6).alias("position"), place.cast("long").alias("place"))
 

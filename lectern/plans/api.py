@@ -76,7 +76,7 @@ def ordered(cards: DataFrame, o: Options) -> DataFrame:
     if o.pinned:
         pins = cards.sparkSession.createDataFrame([(x,) for x in o.pinned], "source_file string")
         ranks = R.apply_pins(ranks, pins).select("ord", F.col("place").alias("rank"))
-    return cut(scored.join(ranks.select("ord", "rank"), "ord").crossJoin(F.broadcast(scored.agg(F.count("*").alias("total")))))
+    return cut(scored.join(ranks.select("ord", "rank"), "ord").withColumn("total", F.lit(scored.count())))
 
 
 def _blocks(placed: DataFrame, o: Options) -> DataFrame:

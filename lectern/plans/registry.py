@@ -55,7 +55,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
     scored = cut(_scored(spark, d))
     ranks = R.rank_cards(scored).select("ord", "rank")
-    return scored.join(ranks, "ord").crossJoin(F.broadcast(scored.agg(F.count("*").alias("total"))))  # one row
+    return scored.join(ranks, "ord").withColumn("total", F.lit(scored.count()))
 
 
 # --- cleaning ---------------------------------------------------------------------------------------------------
