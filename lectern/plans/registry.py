@@ -346,6 +346,3 @@ _add(
       select 'in/' || array_to_string(string_split(url, '/')[1:3], '/') || '/x.png' as path, min((page_id % 7)::int) as input from pages group by 1)""",
 )
 
-
-# --- small checks of the relational forms that the card operators rest on --------------------------------------------------
-_add("bench_documents_by_language", lambda s, d: _table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), "select lang, count(*)::bigint as n, sum(n_chars)::bigint as chars from documents group by 1")

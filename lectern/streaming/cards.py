@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..sources import cards as S
 from ..sources import png
 
+#: The columns of Spark's source of whole files, which a stream must be told.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def stream_cards(spark: SparkSession, folder: str) -> DataFrame:
     """A streaming DataFrame of path, card and error for each PNG file that appears in `folder`."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.png").load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.png").load(folder)
     return S.parse(png.with_chunks(files))
 
 
