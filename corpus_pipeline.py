@@ -15,8 +15,9 @@ from lectern.plans.session import ship
 
 
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id `verdicts` has; a row with a null id has no verdict of its own and goes."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Rows of docs whose doc_id `verdicts` has. A null id is a value like any other; of rows with one id, one verdict to keep keeps all."""
+    kept = verdicts.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
     ship(spark)
-    return _only(docs, simhash.near_duplicates(docs).where("doc_id = component_id"))
+    return _only(docs, simhash.near_duplicates(docs).where("doc_id <=> component_id"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,5 +70,22 @@ def test_stages(spark, tmp_path):
     assert pii.PATTERN
 
 
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns and no rows at all pass through every stage."""
+    from .test_operators import ODD, SCHEMA, words
+
+    good = [(100 + i, words(i, 120), "en", "a", 0) for i in range(60)] + [(None, words(500, 120), "en", "a", 0), (None, words(500, 120), None, None, None)]
+    rows = spark.createDataFrame(ODD + good, SCHEMA).selectExpr("*", "1 as kept", "'x' as component_id")
+    for name, docs in (("odd", rows), ("none", rows.where("doc_id < 0"))):
+        columns = docs.columns
+        for step, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, D).write.parquet(str(tmp_path / name / step))
+            docs = spark.read.parquet(str(tmp_path / name / step))
+            if step == "quality_rules" and name == "odd":
+                assert {r["doc_id"] for r in docs.collect()} >= {None, *range(100, 160)}
+            assert step == "best_fit_packing" or docs.columns == columns
+        assert (docs.count() > 60) == (name == "odd")
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 50
