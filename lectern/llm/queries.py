@@ -24,6 +24,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .suffixes import OP5_SQL
+    from .vectors import OP4_SQL
     from .warc import OP9_SQL
 
-    return {"op9_warc": OP9_SQL}
+    return {"op4_vectors": OP4_SQL, "op5_suffixes": OP5_SQL, "op9_warc": OP9_SQL}

@@ -436,3 +436,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest_only=True)
+
+
+#: Bytes are two hex digits here, as strings of bytes can be cut and joined so.
+OP5_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+     w as (select doc_id, p, substring(hx, 2 * p + 1, 100) as s from (select doc_id, hx, unnest(range(0, length(hx) // 2 - 49)) as p from d)),
+     f as (select s, min(doc_id) as first_id from w group by s),
+     g as (select doc_id, p, lag(p) over (partition by doc_id order by p) as prev from (select w.doc_id, w.p from w join f using (s) where f.first_id < w.doc_id)),
+     r as (select doc_id, min(p) as a, max(p) + 50 as b from (select *, sum(case when prev is null or p > prev + 50 then 1 else 0 end) over (partition by doc_id order by p) as k from g) group by doc_id, k),
+     seg as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as s0, a as s1 from r
+             union all select d.doc_id, coalesce(max(b), 0), any_value(length(hx)) // 2 from d left join r using (doc_id) group by d.doc_id),
+     k as (select doc_id, string_agg(substring(hx, 2 * s0 + 1, 2 * (s1 - s0)), '' order by s0) as kept from seg join d using (doc_id) group by doc_id),
+     n as (select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans from r group by doc_id)
+select d.doc_id, (length(hx) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256
+from d join k using (doc_id) left join n using (doc_id)
+"""

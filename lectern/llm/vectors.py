@@ -197,3 +197,14 @@ def _buckets(distinct: DataFrame, n: int, bits: int, n_tables: int, learned, dty
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+                     where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: x::double * x)) > 0),
+     l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+     r as (select vec_id, vec_id as reach from embeddings union select r.vec_id, l.b from r join l on r.reach = l.a),
+     c as (select vec_id, min(reach) as component_id from r group by vec_id),
+     n as (select a as vec_id, count(*)::bigint as n_links from l group by a)
+select c.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, c.vec_id = component_id as kept from c left join n using (vec_id)
+"""
