@@ -15,7 +15,6 @@ are separate rows; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import column, table
+from ._shared import column, released, table
 
 UNDETERMINED = "und"
 #: Bounds of what is learned from, for each language.
@@ -36,7 +35,6 @@ BLOCK = 2048
 MARGIN = 0.02
 #: The lazy binary-tree search finds the short matches that tell languages apart; faster levels miss many of them.
 SEARCH = {"strategy": zstandard.STRATEGY_BTLAZY2, "min_match": 4, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 4, "target_length": 32}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,7 +80,7 @@ class Identifier:
 
     def verdict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score from 0 to 1, margin, whether it is rejected."""
-        if text is None or not self.names or not _LETTER.search(text):
+        if text is None or not self.names or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0, True
         sizes = self.sizes(text.lower().encode("utf-8", "replace"))
         best = min(range(len(sizes)), key=sizes.__getitem__)
@@ -106,7 +104,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
 
     doc_id = column(docs, id_col)
     rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), column(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
+    return rows.mapInArrow(released(run), f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

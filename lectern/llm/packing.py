@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import column, cut, table
+from ._shared import column, cut, released, table
 from .word_tokens import encoder
 
 MAX_TOKENS = 2048
@@ -118,7 +118,7 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                         col.append(v)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text")).mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
@@ -147,7 +147,7 @@ def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
                 off[at] = row[:, 3] + nth % row[:, 2] * x
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, **names: str) -> DataFrame:

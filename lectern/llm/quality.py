@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import column, cut, table
+from ._shared import column, cut, released, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -100,7 +100,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, lang_col).cast("string").alias("lang"), column(docs, source_col).cast("string").alias("source"), column(docs, text_col).alias("text"))
     longs = ", ".join(f"{c} long" for c, t in types if t == pa.int64())
-    return rows.mapInArrow(run, f"doc_id {kind}, lang string, source string, {longs}, base_failed boolean, " + ", ".join(f"{c} int" for c in NAMES))
+    return rows.mapInArrow(released(run), f"doc_id {kind}, lang string, source string, {longs}, base_failed boolean, " + ", ".join(f"{c} int" for c in NAMES))
 
 
 def chi2_cdf(x: float, k: int) -> float:

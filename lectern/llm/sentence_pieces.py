@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from ._shared import column, table
+from ._shared import column, released, table
 from .word_tokens import BLOCK, TOGETHER, UnitCache, encode_units, in_blocks, split_ids
 
 MARK = "▁"
@@ -237,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_ids long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_ids long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

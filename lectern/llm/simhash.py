@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import column, cut, shuffle_partitions, table
+from ._shared import column, cut, released, shuffle_partitions, table
 from .components import components, forest
 
 RADIUS = 3
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def _links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:

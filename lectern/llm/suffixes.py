@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import batches_of, column, cut, table, to_blob, utf8_length
+from ._shared import batches_of, column, cut, release, released, table, to_blob, utf8_length
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text that a part, and a bucket of runs, are planned for.
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = digests.join(first, "digest").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.lit(_COPY).alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("binary").alias("data"))
 
     hashes, repeated = _hashes(parts, buckets)
-    seen = docs.where(doc_id.isNotNull()).select(part.alias("part"), raw.alias("text")).mapInArrow(hashes, "bucket int, hashes binary, parts binary")
+    seen = docs.where(doc_id.isNotNull()).select(part.alias("part"), raw.alias("text")).mapInArrow(released(hashes), "bucket int, hashes binary, parts binary")
     told = cut(copies.unionByName(seen.groupBy("bucket").applyInArrow(repeated, _TOLD)))
 
     others = [] if digest_only else [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")]
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for i, j in zip(at, at[1:]):
                 yield pa.RecordBatch.from_arrays([pa.array([p[i]], pa.int32()), pa.array([to_blob(t.slice(i, j - i))], pa.binary())], names=["part", "blob"])
 
-    packed = carried.mapInArrow(pack, "part int, blob binary")
+    packed = carried.mapInArrow(released(pack), "part int, blob binary")
 
     def send(rows: pa.Table, told: pa.Table) -> pa.Table:
         names = ["bucket", "part", "blob"]
@@ -363,6 +363,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         b = b[order]
         at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)).tolist() if len(b) else [0]
         number = rows["part"][0].as_py()
+        release()
         return pa.table([pa.array(b[at[:-1]], pa.int32()), pa.array([number] * (len(at) - 1), pa.int32()), pa.array([_pack(o.astype(np.int32), least[o], lens[o], b"".join([raws[k] for k in o.tolist()])) for o in (order[i:j] for i, j in zip(at, at[1:]))], pa.binary())], names=names)
 
     def settle(t: pa.Table) -> pa.Table:
@@ -389,6 +390,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         p, out = p[order], [x.astype(np.int32)[order] for x in (number[run[head]], offset[head], n)]
         at = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p)).tolist() if len(p) else [0]
         m = len(at) - 1
+        del data, bucket, run, offset
+        release()
         return pa.table([pa.array(p[at[:-1]], pa.int32()), pa.array([_GONE] * m, pa.int32()), pa.array([0] * m, pa.int64()), pa.array([_pack(*(x[i:j] for x in out)) for i, j in zip(at, at[1:])], pa.binary())], names=["part", "kind", "key", "data"])
 
     sent = packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(send, "bucket int, part int, blob binary")
@@ -420,6 +423,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             new = None if digest_only or raw is None else _without(raw, _whole_characters(raw, spans)).decode("utf-8", "replace")
             for col, v in zip(out, (new, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
                 col.append(v)
+        del own, ranges
+        release()
         numbers = [pa.array(x, pa.int64()) for x in out[1:4]] + [pa.array(out[4], pa.string())]
         if digest_only:
             return pa.Table.from_arrays([t["doc_id__"], *numbers], schema=target)

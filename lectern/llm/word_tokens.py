@@ -7,12 +7,15 @@ classes could differ between Python and the library, go to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
+# Each of the library's threads holds memory of its own, and an executor runs a worker on every core.
+os.environ.setdefault("RAYON_NUM_THREADS", "2")
 #: Letters whose lower case, composition and class are the same everywhere: ASCII and Latin with diacritics.
 LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ž"
 SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}¡«»¿–—‘’“”…€]*")
@@ -21,7 +24,7 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r0-9
 #: Units kept by a worker, at most about 60 MB; places of the marks that tell whether a unit was met before.
 CACHE, MARKS = 250_000, 1 << 24
 #: Bytes of text that are split at once; units that are encoded at once.
-BLOCK, TOGETHER = 1 << 21, 2048
+BLOCK, TOGETHER = 1 << 20, 2048
 
 
 class UnitCache:
