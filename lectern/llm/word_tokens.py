@@ -22,7 +22,7 @@ SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}¡«»¿–—‘’“”…€]*")
 #: The vocabulary's own splitting rule, for SIMPLE texts in lower case.
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r0-9{LETTERS}]+").findall
 #: Units kept by a worker, at most about 60 MB; places of the marks that tell whether a unit was met before.
-CACHE, MARKS = 250_000, 1 << 24
+CACHE, MARKS = 200_000, 1 << 22
 #: Bytes of text that are split at once; units that are encoded at once.
 BLOCK, TOGETHER = 1 << 20, 2048
 
