@@ -2,9 +2,11 @@
 
 Principal axes and rotations for balanced binary codes are learned on a bounded sample (iterative quantisation: signs and
 rotation are fitted to each other in turns). A code's bits are dealt to tables of `bits` bits each; vectors that share a table's
-bits meet in a bucket and are compared there by their original values in double precision. `bits` follows the number of
-vectors so that buckets stay small, and the number of tables then follows from `RECALL`, the share of pairs exactly
-at the threshold that must meet; closer pairs meet more often.
+bits meet in a bucket and are compared there by their original values in double precision. Centring widens angles, so how often
+pairs at the threshold agree is measured on the sample's own pairs and on pairs made from it. `bits` is what makes messages and
+comparisons cheapest, and tables are added until `RECALL`, the share of pairs at the threshold that must meet, is measured
+for each kind of pair; closer pairs meet more often. Where comparing all pairs is cheapest, or nothing else reaches `RECALL`,
+there is one table without bits.
 
 Equal vectors are one vertex with a weight. A pair counts in the first table in which it meets, so links are summed without
 gathering pairs; for components a bucket returns spanning links only. Buckets are grouped to some thousand rows a task, and
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,35 +33,92 @@ from .components import components, forest
 THRESHOLD = 0.9
 #: Vectors that the rotations are learned from, and rounds of fitting.
 SAMPLE, ROUNDS, SEED = 20_000, 40, 7
-#: Share of pairs at the threshold that must meet; vectors that a bucket is planned for.
+#: Share of pairs at the threshold that must meet; least vectors that a bucket is planned for.
 RECALL, BUCKET = 0.95, 16
+#: Pairs of each kind that recall is measured on, and how far above the threshold the sample's own pairs may lie.
+PAIRS, NEAR = 4000, 0.01
 #: Rows that a task's group of buckets is planned for, rows above which it is split, and rows compared at once.
 GROUP_ROWS, SPLIT_ROWS, TILE = 2048, 16384, 1024
 
 
-def tables_for(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """Bits of a table and number of tables for n vectors."""
-    bits = min(30, max(6, math.ceil(math.log2(max(n, 1) / BUCKET + 1))))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
+def _rotations(x: np.ndarray, rounds: int, seed: int) -> Iterator[np.ndarray]:
+    """Projections from centred vectors, each a learned rotation of their principal axes."""
+    _, axes = np.linalg.eigh(x.T @ x)
+    v = x @ axes
+    rng = np.random.default_rng(seed)
+    while True:
+        r = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))[0]
+        for _ in range(rounds):
+            signs = np.where(v @ r > 0, 1.0, -1.0)
+            a, _, b = np.linalg.svd(v.T @ signs)
+            r = a @ b
+        yield axes @ r
 
 
 def learn(x: np.ndarray, n_bits: int, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (dimension x n_bits at least) from unit vectors: as many learned rotations as the bits need."""
     mean = x.mean(0)
-    centred = x - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    v = centred @ axes
+    return mean, np.concatenate(list(islice(_rotations(x - mean, rounds, seed), max(1, -(-n_bits // x.shape[1])))), 1)
+
+
+def pairs_at(x: np.ndarray, threshold: float, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of pairs of unit vectors at the threshold: turned anywhere, turned along the sample's differences, and the sample's own."""
     rng = np.random.default_rng(seed)
+    left, j, k = (rng.integers(0, len(x), PAIRS) for _ in range(3))
     out = []
-    while sum(w.shape[1] for w in out) < n_bits:
-        r = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))[0]
-        for _ in range(rounds):
-            signs = np.where(v @ r > 0, 1.0, -1.0)
-            a, _, b = np.linalg.svd(v.T @ signs)
-            r = a @ b
-        out.append(axes @ r)
-    return mean, np.concatenate(out, 1)
+    for u in (rng.standard_normal((PAIRS, x.shape[1])), x[j] - x[k]):
+        u = u - (u * x[left]).sum(1, keepdims=True) * x[left]
+        norm = np.linalg.norm(u, axis=1)
+        some = norm > 1e-6
+        if some.sum() >= PAIRS // 20:
+            out.append((x[left[some]], threshold * x[left[some]] + math.sqrt(1 - threshold**2) * u[some] / norm[some, None]))
+    base = rng.permutation(len(x))[:PAIRS]
+    found = []
+    for at in range(0, len(base), TILE):
+        cosine = x[base[at : at + TILE]] @ x.T
+        i, k = np.nonzero((cosine >= threshold) & (cosine < min(threshold + NEAR, 1 - 1e-9)))
+        found.append(np.stack([base[i + at], k]))
+    i, k = np.concatenate(found, 1)
+    if len(i) >= PAIRS // 20:
+        some = rng.permutation(len(i))[:PAIRS]
+        out.append((x[i[some]], x[k[some]]))
+    return out
+
+
+def plan(x: np.ndarray, n: int, threshold: float = THRESHOLD, itemsize: int = 4) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Mean, projection, bits of a table and number of tables for n vectors of which x is a sample of unit vectors."""
+    mean = x.mean(0)
+    width = x.shape[1]
+    kinds = pairs_at(x, threshold)
+    more = _rotations(x - mean, ROUNDS, SEED)
+    project = next(more)
+    same = lambda l, r: ((l - mean) @ project > 0) == ((r - mean) @ project > 0)
+    agree = [same(l, r) for l, r in kinds]
+    rng = np.random.default_rng(SEED)
+    apart = same(*(x[rng.integers(0, len(x), 5 * PAIRS)] for _ in range(2))).mean(1)
+
+    def tables(bits: int) -> float:
+        meet = min((float(np.mean(a.mean(1) ** bits)) for a in agree), default=1.0)
+        return 1 if meet >= RECALL else math.log(1 - RECALL) / math.log1p(-max(meet, 1e-9))
+
+    def cost(bits: int) -> float:
+        """Bytes of a vector's messages and comparisons, which cost about as much as a byte each."""
+        t = tables(bits)
+        return t * (width * itemsize + 4 * t + n * float(np.mean(apart**bits)))
+
+    bits = min(range(min(30, max(6, math.ceil(math.log2(max(n, 1) / BUCKET + 1)))) + 1), key=cost)
+    while bits:
+        met = [np.zeros(len(a), np.bool_) for a in agree]
+        for t in range(2 * math.ceil(tables(bits)) + 8):
+            while project.shape[1] < (t + 1) * bits:
+                project = np.concatenate([project, next(more)], 1)
+                agree = [np.concatenate([a, ((l - mean) @ project[:, a.shape[1] :] > 0) == ((r - mean) @ project[:, a.shape[1] :] > 0)], 1) for a, (l, r) in zip(agree, kinds, strict=True)]
+            for m, a in zip(met, agree, strict=True):
+                m |= a[:, t * bits : (t + 1) * bits].all(1)
+            if all(m.mean() >= RECALL for m in met):
+                return mean, project[:, : (t + 1) * bits], bits, t + 1
+        bits -= 1
+    return mean, project[:, :0], 0, 1
 
 
 def _units(raw: Iterable, dtype: np.dtype) -> np.ndarray:
@@ -105,9 +165,8 @@ def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         picked = sorted(picked or distinct.select("rep", "raw").limit(1).collect(), key=lambda r: r["rep"])
         lengths = [len(r["raw"]) for r in picked]
         width = max(set(lengths), key=lambda k: (lengths.count(k), k))
-        bits, n_tables = tables_for(n, threshold)
-        mean, project = learn(_units([bytes(r["raw"]) for r in picked if len(r["raw"]) == width], dtype), bits * n_tables)
-        learned = spark.sparkContext.broadcast((mean, project[:, : bits * n_tables]))  # dimension x some hundred numbers
+        mean, project, bits, n_tables = plan(_units([bytes(r["raw"]) for r in picked if len(r["raw"]) == width], dtype), n, threshold, dtype.itemsize)
+        learned = spark.sparkContext.broadcast((mean, project))  # dimension x some hundred numbers
         found = cut(_buckets(distinct.where(F.octet_length("raw") == width), n, bits, n_tables, learned, dtype, threshold))
     else:
         found = spark.createDataFrame([], "a long, b long, n long")

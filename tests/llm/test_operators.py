@@ -201,6 +201,36 @@ def test_vectors(spark, planted, split, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def off_centre(norm, n, pairs, seed=3, dim=64):
+    """Unit vectors whose mean has about this norm, and partners at cosine 0.90 to 0.91 of the first ones."""
+    rng = np.random.default_rng(seed)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    x = unit(math.sqrt(1 - norm * norm) * unit(rng.standard_normal((n, dim))) + norm * unit(rng.standard_normal(dim)))
+    u = rng.standard_normal((pairs, dim))
+    u = unit(u - (u * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    c = rng.uniform(0.9, 0.91, (pairs, 1))
+    return x, c * x[:pairs] + np.sqrt(1 - c * c) * u
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.8])
+def test_vectors_off_centre(spark, norm):
+    x, partners = off_centre(norm, 12_000, 1500)
+    x = np.concatenate([x, partners]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    links = np.array([r["n_links"] for r in sorted(vectors.link_vectors(rows).collect())])
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    n = (x @ x.T >= 0.9).sum(1) - 1
+    assert (links <= n).all() and links.sum() >= 0.94 * n.sum() and n.sum() >= 2900
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.5, 0.7, 0.8])
+def test_vector_tables_reach_recall(norm):
+    x, partners = off_centre(norm, 20_000, 3000)
+    mean, project, bits, tables = vectors.plan(x, 100_000)
+    keys = lambda a: ((a - mean) @ project > 0).reshape(len(a), tables, bits)
+    assert bits >= 6 and (keys(x[:3000]) == keys(partners)).all(2).any(1).mean() >= 0.94
+
+
 def test_vectors_empty(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert vectors.link_vectors(empty).count() == 0
