@@ -76,6 +76,22 @@ def test_quality_rejects_outliers_only(spark):
     assert got[2000]["base_failed"] and got[2001]["base_failed"] and got[2000]["distance"] is None
 
 
+@pytest.mark.parametrize("kind", ["lines", "windows"])
+def test_quality_rejects_repetition_alone(spark, kind):
+    """Texts with usual words and no symbols, whose lines or three-word windows alone repeat, where nobody else's do."""
+    rng, vocabulary = random.Random(5), words(0, 4000, 4000).split()
+    some = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    lines = lambda: [some(3) for _ in range(40)]
+    clean = [(i, "\n".join(lines()), "en", "s", 0) for i in range(300)]
+    if kind == "lines":  # one-word lines between others, so that few windows repeat
+        odd = [(1000 + i, "\n".join(x for k, line in enumerate(lines()) for x in (line, *["again"] * (k % 4))), "en", "s", 0) for i in range(5)]
+    else:
+        odd = [(1000 + i, "\n".join(lines()[:30]) + f" {some(36)}" * 2, "en", "s", 0) for i in range(5)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(clean + odd, SCHEMA)).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert not any(got[1000 + i]["kept"] or got[1000 + i]["base_failed"] for i in range(5))
+
+
 def test_quality_is_one_whatever_the_partitions_and_join(spark, monkeypatch):
     rows = [(i, words(i, 60 + i % 90) + (" ## |" * (i % 7)), ("en", None)[i % 11 == 0], f"s{i % 3}", 0) for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
