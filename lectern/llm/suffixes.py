@@ -262,26 +262,31 @@ def _hashes(parts: int, buckets: int):
     return run, repeated
 
 
-def _read(rows: pa.Table, told: pa.Table, buckets: int) -> tuple[pa.Table, list[int], list[bytes], _Part, set[int], dict[int, list[tuple[int, int]]]]:
-    """A part's rows by id, its runs, copies (row numbers with ids) and ranges that go, from what it was told."""
+def _read(rows: pa.Table, told: pa.Table, buckets: int) -> tuple[pa.Table, list[int], list[bytes], _Part, list[bool], dict[int, list[tuple[int, int]]]]:
+    """A part's rows by id, its runs, which rows are copies, and ranges that go, from what it was told."""
     found = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["blob"]]
     t = pa.concat_tables(found).sort_by("doc_id__")
     kind, key = told["kind"].to_pylist(), told["key"].to_pylist()
-    copies = {k for w, k in zip(kind, key, strict=True) if w == _COPY}
+    copies: dict[int, set[bytes]] = {}
+    for w, k, x in zip(kind, key, told["data"], strict=True):
+        if w == _COPY:
+            copies.setdefault(k, set()).add(x.as_py())
 
     def keys(what: int) -> np.ndarray:
         got = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) | np.uint64(k << 32) for w, k, x in zip(kind, key, told["data"], strict=True) if w == what]
         return np.concatenate(got) if got else np.empty(0, np.uint64)
 
     ids = t["doc_id__"].to_pylist()
-    texts = [b"" if i is None or i in copies else x.as_py() or b"" for i, x in zip(ids, t["text__"], strict=True)]
+    # Rows of one id can have different texts, so a note holds for the text it names.
+    copied = [i in copies and hashlib.sha256(x.as_py() or b"").digest() in copies[i] for i, x in zip(ids, t["text__"], strict=True)]
+    texts = [b"" if i is None or c else x.as_py() or b"" for i, c, x in zip(ids, copied, t["text__"], strict=True)]
     part = _Part(ids, texts, keys(_WANTED), keys(_HOT), buckets)
     gone: dict[int, list[tuple[int, int]]] = {}
     for w, x in zip(kind, told["data"], strict=True):
         if w == _GONE:
             for no, off, n in zip(*(c.tolist() for c in _unpack(x.as_py(), *_RANGES)), strict=True):
                 gone.setdefault(no, []).append((off, n))
-    return t, ids, texts, part, copies, gone
+    return t, ids, texts, part, copied, gone
 
 
 def _spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -332,7 +337,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
     part = F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int")
     first = digests.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    copies = digests.join(first, "digest").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.lit(_COPY).alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("binary").alias("data"))
+    copies = digests.join(first, "digest").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.lit(_COPY).alias("kind"), F.col("doc_id").alias("key"), F.col("digest").alias("data"))
 
     hashes, repeated = _hashes(parts, buckets)
     seen = docs.where(doc_id.isNotNull()).select(part.alias("part"), raw.alias("text")).mapInArrow(released(hashes), "bucket int, hashes binary, parts binary")
@@ -407,7 +412,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         target = to_arrow_schema(schema)
         if not rows.num_rows:
             return target.empty_table()
-        t, ids, _, own, copies, gone = _read(rows, told, buckets)
+        t, ids, _, own, copied, gone = _read(rows, told, buckets)
         ranges: dict[int, list[tuple[int, int]]] = {}
         for i, s, n, no in own.where:
             if ids[i] > own.least[no]:
@@ -418,7 +423,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for i, x in enumerate(t["text__"]):
             raw = x.as_py()
             n = len(raw or b"")
-            spans = ([(0, n)] if n >= LENGTH else []) if ids[i] in copies else _spans(ranges.get(i, []))
+            spans = ([(0, n)] if n >= LENGTH else []) if copied[i] else _spans(ranges.get(i, []))
             kept = _without(raw or b"", spans)
             new = None if digest_only or raw is None else _without(raw, _whole_characters(raw, spans)).decode("utf-8", "replace")
             for col, v in zip(out, (new, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):

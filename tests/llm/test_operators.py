@@ -316,6 +316,14 @@ def test_repeats(spark, sizes, monkeypatch):
     assert sorted((tuple(r) for r in suffixes.remove_repeats(docs, digest_only=True).collect()), key=repr) == brute_repeats(rows)
 
 
+def test_copies_on_one_id(spark):
+    a, b = words(1, 20), words(2, 20)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, b + a), (4, None), (4, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in suffixes.remove_repeats(docs, digest_only=True).collect()), key=repr)
+    assert got == brute_repeats(rows) and sum(r[2] == 0 for r in got) == 3
+
+
 def test_repeats_keep_columns_and_characters(spark, odd, none):
     docs = odd.select("*", F.lit("x").alias("blob"))
     got = suffixes.remove_repeats(docs)
