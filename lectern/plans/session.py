@@ -34,10 +34,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own checkpoint folder. Only where
+    all is one machine (master local) a folder of that machine serves; a cluster without a setting is an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
+        os.makedirs(found, exist_ok=True)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that driver and executors share, so that it is neither recomputed nor lost."""
+    """`df` written to the shared folder, so that later reads neither recompute it nor need the executor that made it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
-        sc.setCheckpointDir(found)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
