@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,26 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
-        os.makedirs(found, exist_ok=True)
-    return found
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() needs a folder; the session's own setting wins."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """`df` written to the shared folder, so that later reads neither recompute it nor need the executor that made it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+from ..plans.session import cut as cut
+from ..plans.session import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -48,6 +28,12 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def row_key(df: DataFrame, *names: str) -> Column:
+    """16 bytes that tell rows of different values in these columns apart, nulls included. Equal rows have equal keys."""
+    cols = [x for n in names for x in (column(df, n), column(df, n).isNull())]
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(*salt, *cols)), 16, "0") for salt in ([], [F.lit("again")]))))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

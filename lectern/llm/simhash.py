@@ -1,10 +1,13 @@
 """SimHash near-duplicates: tiled exact comparison of 64-bit fingerprints.
 
-Fingerprints within 3 differing bits agree on at least one of four 16-bit blocks, so each is put into one bucket per
-block (by as many leading bits of the block as keep buckets near `BUCKET_ROWS`). A bucket is sorted by population count
-and cut into tiles; numpy compares tile with tile by exclusive-or and bit counts, and tile pairs whose population counts
-differ beyond the radius are skipped. Nothing is left out: every pair within the radius meets in some bucket. A bucket
-above `SPLIT_ROWS` is dealt as pairs of parts over many tasks. Tasks return spanning links, not all pairs.
+A fingerprint is cut into more blocks than the radius has bits, so fingerprints within it agree on some blocks, and each
+is put into a bucket for every choice of blocks: four 16-bit blocks for a radius of 3, five or six blocks of which two or
+three make a key where more rows need smaller buckets. A bucket is sorted by population count and cut into tiles; numpy
+compares tile with tile by exclusive-or and bit counts, and tile pairs whose population counts differ beyond the radius are
+skipped, as are those whose rows are all linked already. Nothing is left out: every pair within the radius meets in some
+bucket. A bucket above `SPLIT_ROWS` is dealt as pairs of parts over many tasks. Tasks return spanning links, not all pairs.
+
+`similar_documents` serves a similarity instead of a radius; see there.
 
 Equal fingerprints are one vertex, so copies never make pairs.
 
@@ -16,12 +19,12 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import column, cut, released, shuffle_partitions, table
@@ -97,6 +100,8 @@ def _links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
         for j in range(i, len(fps), TILE_ROWS):
             if int(pops[j]) - int(pops[min(i + TILE_ROWS, len(fps)) - 1]) > radius:
                 break
+            if (label[i : i + TILE_ROWS] == label[i]).all() and (label[j : j + TILE_ROWS] == label[i]).all():
+                continue
             near = np.bitwise_count(a[:, None] ^ fps[None, j : j + TILE_ROWS]) <= radius
             if i == j:
                 near = np.triu(near, 1)
@@ -109,15 +114,36 @@ def _links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return fps[linked], fps[label[linked]]
 
 
+def _blocks(n: int, radius: int) -> tuple[list[tuple[int, int]], int, int]:
+    """Blocks (shift, width) of a fingerprint, how many of them make a key, and how many bits of a key are used for n rows.
+
+    With radius + m blocks, fingerprints within the radius agree on m of them at least, so a table for each choice of m blocks
+    loses nothing. More blocks in a key make buckets smaller and tables more; m is the least that keeps buckets near
+    BUCKET_ROWS.
+    """
+    for m in range(1, 64 - radius):
+        count = radius + m
+        edges = [64 * i // count for i in range(count + 1)]
+        blocks = [(i, j - i) for i, j in zip(edges, edges[1:])]
+        bits = sum(sorted(w for _, w in blocks)[:m])
+        if n >> bits <= BUCKET_ROWS:
+            break
+    return blocks, m, min(bits, max(0, (n - 1) // BUCKET_ROWS).bit_length())
+
+
 def near_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that span all pairs within the radius among distinct fingerprints (column fp); n: their number."""
-    if radius != RADIUS:
-        raise ValueError("four blocks serve a radius of 3")
-    bits = 0
-    while bits < 16 and (n >> bits) > BUCKET_ROWS:
-        bits += 1
-    bucket = [((F.shiftrightunsigned("fp", 64 - 16 * k - bits) if bits else F.lit(0)).bitwiseAND((1 << bits) - 1) * 4 + k).cast("long") for k in range(4)]
-    rows = fps.select("fp", F.explode(F.array(*bucket)).alias("bucket"))
+    blocks, m, bits = _blocks(n, radius)
+    tables = list(combinations(blocks, m))
+
+    def key(chosen: tuple[tuple[int, int], ...]) -> Column:
+        value, size = F.lit(0).cast("long"), 0
+        for shift, w in chosen:
+            value = F.shiftleft(value, w) + F.shiftrightunsigned("fp", shift).bitwiseAND((1 << w) - 1)
+            size += w
+        return F.shiftrightunsigned(value, size - bits)
+
+    rows = fps.select("fp", F.posexplode(F.array(*(key(x) for x in tables))).alias("table", "key")).select("fp", (F.col("key") * len(tables) + F.col("table")).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS)
     hot = sizes.select("bucket", F.ceil(F.col("n") / (SPLIT_ROWS // 2)).cast("int").alias("parts"))
     # A hot bucket's rows go to every pair of parts that theirs is in.
@@ -134,12 +160,12 @@ def near_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest doc_id reachable over links)."""
-    rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
+    rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     n = distinct.count()
-    roots = cut(components(near_links(distinct.select("fp").repartition(max(1, min(shuffle_partitions(docs.sparkSession), n // 10_000 + 1))), n)))
+    roots = cut(components(near_links(distinct.select("fp").repartition(max(1, min(shuffle_partitions(docs.sparkSession), n // 10_000 + 1))), n, radius)))
     with_root = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = with_root.groupBy("root").agg(F.min("first").alias("component_id"))
     where = with_root.join(smallest, "root").select("fp", "component_id")

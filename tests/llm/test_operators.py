@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from lectern.llm import components, language, packing, pii, quality, sentence_pieces, sharding, simhash, suffixes, vectors, warc, word_tokens
+from lectern.llm import components, language, packing, pii, quality, sentence_pieces, sharding, similar, simhash, suffixes, vectors, warc, word_tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls, empty and blank texts, ties, repeated rows, odd characters, very long texts.
@@ -657,3 +657,100 @@ def test_near_duplicates(spark, odd, none):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[9] == got[4] == 4 and got[3] == 3 and got[2] == got[8] == 2
     assert simhash.near_duplicates(odd).count() == len(ODD) and simhash.near_duplicates(none).count() == 0
+
+
+def jaccard(a, b, width=5):
+    def shingles(text):
+        w = [x.lower() for x in re.findall("[^\x20\x09-\x0d]+", text or "")]
+        return {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_groups(texts, similarity=0.8):
+    """For ids and texts: the smallest id reachable over links of that similarity."""
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if i < j and find(i) != find(j) and jaccard(texts[i], texts[j]) >= similarity:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in texts}
+
+
+def changed(text, seed, n):
+    """`text` with n words changed."""
+    w, rng = text.split(), random.Random(seed)
+    for k in rng.sample(range(len(w)), n):
+        w[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SPLIT_ROWS": 8, "GROUP_BYTES": 4000, "TILE": 4, "COLUMNS": 64}])
+def test_similar_documents(spark, limits, monkeypatch):
+    """Groups equal those of all pairs' similarities, for pairs around the threshold, chains, hot groups and short texts."""
+    for k, v in limits.items():
+        monkeypatch.setattr(similar, k, v)
+    texts = {i: words(i, 40 + 10 * i, 3000) for i in range(40)}
+    for i in range(40):
+        for k in range(3):  # 5 words of shingles go with each changed word
+            texts[100 + 3 * i + k] = changed(texts[i], 3 * i + k, 1 + k * len(texts[i].split()) // 60)
+    hot = words(99, 300, 3000)
+    texts |= {1000 + k: changed(hot, k, 2 + k % 6) for k in range(60)}
+    short = ["", " ", None, "a", "A", "a b c d", "a b c d e", "a b c d e f", "a b c d f"]
+    texts |= {2000 + k: x for k, x in enumerate(short)}
+    got = {r["id"]: bytes(r["group"]) for r in similar.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+    want = brute_groups(texts)
+    assert {(i, j) for i in want for j in want if got[i] == got[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
+
+
+def test_similar_documents_recall():
+    """Share of pairs at a similarity of 0.8 that meet in a key and lie within the radius."""
+    rng = np.random.default_rng(1)
+    found = 0
+    for k in range(400):
+        n = int(rng.choice([9, 45, 450, 1800]))  # two sets of n hashes, of which 8 of 10 in all are in both
+        h = rng.integers(0, 1 << 63, n * 10 // 9, np.uint64)
+        (fa, ka), (fb, kb) = similar.sketch(h[:n]), similar.sketch(h[-n:])
+        assert len(np.intersect1d(h[:n], h[-n:])) / len(h) >= 0.79
+        found += bool((ka == kb).any()) and sum((x ^ y).bit_count() for x, y in zip(fa, fb, strict=True)) <= similar.RADIUS
+    assert found >= 396
+
+
+def test_similar_documents_odd(odd, none):
+    got = similar.similar_documents(odd).collect()
+    group = {}
+    for r in got:
+        group.setdefault(r["id"], set()).add(bytes(r["group"]))
+    assert len(got) == len(ODD) and group[1] == group[2] == group[3] and group[7] == group[8] and len(group[5]) == 1 and group[4] != group[5]
+    assert similar.similar_documents(none).count() == 0
+    twice = odd.sparkSession.createDataFrame([(1, words(1, 50)), (1, words(2, 50)), (2, words(2, 50) + " x"), (3, words(1, 50))], "doc_id long, text string")
+    assert len({bytes(r["group"]) for r in similar.similar_documents(twice).collect()}) == 2
+
+
+def test_blocks():
+    for n, tables, bits in ((0, 4, 0), (2048, 4, 0), (10**6, 4, 9), (2 * 10**8, 10, 17), (10**11, 20, 26)):
+        blocks, m, used = simhash._blocks(n, 3)
+        assert (math.comb(len(blocks), m), used) == (tables, bits) and sum(w for _, w in blocks) == 64
+        assert len(blocks) - 3 == m and used <= sum(sorted(w for _, w in blocks)[:m])
+
+
+@pytest.mark.parametrize(("n", "radius"), [(0, 3), (3 * 10**8, 3), (10**11, 3), (0, 6)])
+def test_near_links_lose_nothing(spark, n, radius):
+    """Whatever the number of tables: pairs within the radius are connected, others are not."""
+    rng = random.Random(3)
+    fps = {rng.getrandbits(64) for _ in range(150)}
+    for x in list(fps):
+        for bits in (radius, radius + 1):
+            fps.add(x ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    signed = [x - (1 << 64) * (x >> 63) for x in fps]
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), n or len(signed), radius)
+    got = {r["vertex"]: r["root"] for r in components.components(links).collect()}
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+    assert want and all(got[a] == got[b] for a, b in want) and len(got) == len({x for p in want for x in p})
