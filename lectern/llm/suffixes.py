@@ -11,10 +11,11 @@ Every byte covered by a string of `LENGTH` bytes that also starts in a document
 4. Parts remove what is covered.
 
 Texts move only as compressed parts. No key gathers rows: a hash or run counts once for each part, equal texts are settled by
-their digest first, and hashes met in more than `HOT` parts are dealt on as single strings by their own hash.
+their digest first, and hashes met in more than `HOT` parts are dealt on as single strings by their own hash. A run that
+repeats itself is sent as one period.
 
 Cases: a null text is empty; texts below LENGTH bytes lose nothing; rows with equal ids do not count as earlier than each
-other; rows with a null id lose nothing and count for nobody; an empty table gives an empty result; other columns are
+other; rows with a null id lose nothing, count for nobody and take no part in any exchange; an empty table gives an empty result; other columns are
 kept by `remove_repeats`, where they do not clash with what it adds.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,15 +196,31 @@ class _Part:
         self.number: dict[bytes, int] = {}
         self.least: list[int] = []
         self.bucket: list[int] = []
-        self.where: list[tuple[int, int, int, int]] = []  # row, start, strings, number
+        self.where: list[tuple[int, int, int, int, int]] = []  # row, start, end of the strings' starts, number, period
         for i, s, n, k, single in zip(t[kept].tolist(), start[kept].tolist(), count[kept].tolist(), (key[kept] >> np.uint64(32)).tolist(), is_hot.tolist(), strict=True):
-            for at, m in ((j, 1) for j in range(s, s + n)) if single else ((s, n),):
+            # Of a run that repeats itself only one period's strings are told apart and sent.
+            period = _period(texts[i][s : s + n + LENGTH - 1]) if n > LENGTH else 0
+            for at, m in ((j, 1) for j in range(s, s + (period or n))) if single else ((s, period or n),):
                 raw = texts[i][at : at + m + LENGTH - 1]
                 no = self.number.setdefault(raw, len(self.number))
                 if no == len(self.least):
                     self.least.append(ids[i])
                     self.bucket.append(zlib.crc32(raw) % buckets if single else k)
-                self.where.append((i, at, m, no))
+                self.where.append((i, at, s + n if period else at + m, no, period))
+
+    def spread(self, at: int, end: int, period: int, off: int, m: int) -> Iterator[tuple[int, int]]:
+        """Ranges (start, strings) of a place in `where` that m strings from `off` of its number stand for."""
+        if not period:
+            yield at + off, m
+        elif m >= period:
+            yield at, end - at
+        else:
+            yield from ((j, min(m, end - j)) for j in range(at + off, end, period))
+
+
+def _period(raw: bytes) -> int:
+    """The least period up to LENGTH - GRAM + 1 that a run's bytes have; 0 without one."""
+    return next((p for p in range(1, LENGTH - GRAM + 2) if raw[p : p + LENGTH] == raw[:LENGTH] and raw[p:] == raw[:-p]), 0)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -331,13 +348,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     text, doc_id = column(docs, text_col), column(docs, id_col).cast("long")
     raw = text.cast("binary")
-    digests = cut(docs.select(doc_id.alias("doc_id"), utf8_length(text).alias("n"), F.unhex(F.sha2(F.coalesce(raw, F.lit(b"")), 256)).alias("digest")))
+    # Rows are dealt by id and text, so that rows of one id spread; rows without an id are told nothing and need no part.
+    row = F.xxhash64(doc_id, raw)
+    digests = cut(docs.select(doc_id.alias("doc_id"), row.alias("row"), utf8_length(text).alias("n"), F.unhex(F.sha2(F.coalesce(raw, F.lit(b"")), 256)).alias("digest")))
     total, rows = digests.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     parts = max(1, -(-(int(total) + 64 * rows) // PART_BYTES))
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
-    part = F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int")
+    part = F.pmod(row, F.lit(parts)).cast("int")
     first = digests.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    copies = digests.join(first, "digest").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.lit(_COPY).alias("kind"), F.col("doc_id").alias("key"), F.col("digest").alias("data"))
+    copies = digests.join(first, "digest").where("doc_id > first").select(F.pmod("row", F.lit(parts)).cast("int").alias("part"), F.lit(_COPY).alias("kind"), F.col("doc_id").alias("key"), F.col("digest").alias("data"))
 
     hashes, repeated = _hashes(parts, buckets)
     seen = docs.where(doc_id.isNotNull()).select(part.alias("part"), raw.alias("text")).mapInArrow(released(hashes), "bucket int, hashes binary, parts binary")
@@ -355,7 +374,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for i, j in zip(at, at[1:]):
                 yield pa.RecordBatch.from_arrays([pa.array([p[i]], pa.int32()), pa.array([to_blob(t.slice(i, j - i))], pa.binary())], names=["part", "blob"])
 
-    packed = carried.mapInArrow(released(pack), "part int, blob binary")
+    packed = carried.where("doc_id__ is not null").mapInArrow(released(pack), "part int, blob binary")
 
     def send(rows: pa.Table, told: pa.Table) -> pa.Table:
         names = ["bucket", "part", "blob"]
@@ -406,38 +425,48 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([T.StructField(id_col, T.LongType()), *added] if digest_only else [*(T.StructField(f"c{i}", fields[c].dataType) for i, c in enumerate(others)), T.StructField("text__", T.StringType()), *added])
 
-    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
+    def results(t: pa.Table, spans_of: Callable[[int, int], list[tuple[int, int]]]) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        if not rows.num_rows:
-            return target.empty_table()
-        t, ids, _, own, copied, gone = _read(rows, told, buckets)
-        ranges: dict[int, list[tuple[int, int]]] = {}
-        for i, s, n, no in own.where:
-            if ids[i] > own.least[no]:
-                ranges.setdefault(i, []).append((s, n))
-            elif no in gone:
-                ranges.setdefault(i, []).extend((s + off, m) for off, m in gone[no])
         out: tuple[list, ...] = ([], [], [], [], [])
         for i, x in enumerate(t["text__"]):
             raw = x.as_py()
             n = len(raw or b"")
-            spans = ([(0, n)] if n >= LENGTH else []) if copied[i] else _spans(ranges.get(i, []))
+            spans = spans_of(i, n)
             kept = _without(raw or b"", spans)
             new = None if digest_only or raw is None else _without(raw, _whole_characters(raw, spans)).decode("utf-8", "replace")
             for col, v in zip(out, (new, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
                 col.append(v)
-        del own, ranges
-        release()
         numbers = [pa.array(x, pa.int64()) for x in out[1:4]] + [pa.array(out[4], pa.string())]
         if digest_only:
             return pa.Table.from_arrays([t["doc_id__"], *numbers], schema=target)
         cols = [*(t[f"c{i}"] for i in range(len(others))), pa.array(out[0], pa.string()), *numbers]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cols, target, strict=True)], schema=target)
 
+    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        if not rows.num_rows:
+            return to_arrow_schema(schema).empty_table()
+        t, ids, _, own, copied, gone = _read(rows, told, buckets)
+        ranges: dict[int, list[tuple[int, int]]] = {}
+        lens = [len(x) - LENGTH + 1 for x in own.number]
+        for i, s, end, no, period in own.where:
+            for off, m in [(0, lens[no])] if ids[i] > own.least[no] else gone.get(no, ()):
+                ranges.setdefault(i, []).extend(own.spread(s, end, period, off, m))
+        del own
+        done = results(t, lambda i, n: ([(0, n)] if n >= LENGTH else []) if copied[i] else _spans(ranges.get(i, [])))
+        del ranges
+        release()
+        return done
+
+    def untouched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from results(pa.Table.from_batches([b]), lambda i, n: []).to_batches()
+
     right = told.unionByName(gone)
-    done = packed.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(finish, schema)
+    done = packed.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(finish, schema).unionByName(carried.where("doc_id__ is null").mapInArrow(untouched, schema))
     if digest_only:
         return done
     names = {c: f"c{i}" for i, c in enumerate(others)} | {text_col: "text__"}
