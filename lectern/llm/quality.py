@@ -7,8 +7,8 @@ determinant, and rejects vectors whose Mahalanobis distance exceeds a chi-square
 The fit covers all rows that pass the base rules. Vectors are fixed-point, so all sums are exact and order does not
 matter. A concentration step is one grouped sum over (group, start, distance class): the classes of smallest distance
 that together hold the share `SUBSET` of the group give the next location and scatter. No group is ever gathered: a task
-sees at most the classes' sums. Steps start from medians with MAD and from the plain mean and covariance; of
-what they settle on, the smaller determinant wins. `FLOORS` is added to every scatter's diagonal, as many statistics are 0
+sees at most the classes' sums. Steps start from medians with MAD and from the plain mean and covariance. A fit goes on while its determinant falls by `SETTLED` at
+least in its logarithm, which floors bound below, so every fit settles; it keeps its least. Of the starts the smallest determinant wins. `FLOORS` is added to every scatter's diagonal, as many statistics are 0
 in most texts: differences below a floor are no evidence by themselves. Where nobody repeats, more than 36 % of repeated lines,
 or of words in repeated windows, are beyond the cutoff alone.
 
@@ -43,7 +43,9 @@ FLOORS = (0.08, 0.03, 0.12, 0.12)
 P = len(NAMES)
 #: Fixed point of the vectors; share of a group that a fit rests on; chance that a clean vector exceeds the cutoff.
 SCALE, SUBSET, REJECT = 1000, 0.6, 1e-5
-MIN_GROUP, MAX_STEPS = 50, 12
+MIN_GROUP = 50
+#: Fall of the log determinant below which a fit has settled.
+SETTLED = 1e-4
 #: Groups times starts up to which their parameters are broadcast (some 400 bytes each); beyond, they are joined.
 BROADCAST_ROWS = 20_000
 #: Parts that a group's rows are dealt to where parameters are joined.
@@ -207,23 +209,30 @@ def fit(rows: DataFrame) -> DataFrame:
     values = rows.select("fit", axes).groupBy("fit", F.col("a.axis").alias("axis"), F.col("a.value").alias("value")).agg(F.count("*").alias("n"))
     first = values.groupBy("fit").applyInArrow(_medians, schema)
     plain = rows.groupBy("fit").agg(*_sums()).groupBy("fit").applyInArrow(_plain, schema)
-    params = cut(first.unionByName(plain))
-    n = params.count()
+    starts = cut(first.unionByName(plain))
     near = F.floor(16 * F.log(_distance() + F.lit(1e-9))).cast("int")
-    for _ in range(MAX_STEPS):
+    names = ["fit", "start", *_PARAMS]
+
+    def step(params: DataFrame, n: int) -> DataFrame:
         sums = _join(rows, params, n, ["fit"]).select("fit", "start", near.alias("near"), *NAMES).groupBy("fit", "start", "near").agg(*_sums())
-        after = cut(sums.groupBy("fit", "start").applyInArrow(_concentrate, schema))
-        moved = after.select("fit", "start", F.col("det").alias("to")).join(params, ["fit", "start"]).where(F.abs(F.col("to") - F.col("det")) > 1e-9)
-        params, settled = after, moved.isEmpty()
-        if settled:
-            break
-    best = F.row_number().over(Window.partitionBy("fit").orderBy("det", "start"))
-    return params.withColumn("nth", best).where("nth = 1").drop("nth", "start")
+        return sums.groupBy("fit", "start").applyInArrow(_concentrate, schema)
+
+    # The starts' own determinants are no subset's, so the first step counts whatever it gives.
+    best = active = cut(step(starts, n := starts.count()))
+    while n:
+        after = step(active, n).select("fit", "start", F.struct(*_PARAMS).alias("new"))
+        stepped = cut(best.select("fit", "start", F.struct(*_PARAMS).alias("best")).join(after, ["fit", "start"], "left"))
+        fell = lambda by: F.coalesce(F.col("new.det") < F.col("best.det") - by, F.lit(False))
+        best = stepped.select("fit", "start", F.when(fell(0), F.col("new")).otherwise(F.col("best")).alias("p")).select("fit", "start", "p.*").select(names)
+        active = stepped.where(fell(SETTLED)).select("fit", "start", "new.*").select(names)
+        n = active.count()
+    nth = F.row_number().over(Window.partitionBy("fit").orderBy("det", "start"))
+    return best.withColumn("nth", nth).where("nth = 1").drop("nth", "start")
 
 
 def judge(docs: DataFrame, **names: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (squared, null if
-    base_failed)."""
+    base_failed), fitted_on (source, language or all: the rows whose fit judged the document; null if base_failed)."""
     stats = cut(statistics(docs, **names))
     good = stats.where("not base_failed")
     groups = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -238,14 +247,14 @@ def judge(docs: DataFrame, **names: str) -> DataFrame:
     fits = F.filter(F.array(F.when(level == 2, own), F.when(F.col("need1"), lang), F.when(F.lit(need0), everything)), lambda x: x.isNotNull())
     # Null-safe keys by JSON, so that null languages and sources join as values.
     pair = F.to_json(F.array("lang", "source"))
-    where = groups.select(pair.alias("pair"), F.when(level == 2, own).when(level == 1, lang).otherwise(everything).alias("own"), fits.alias("fits"))
-    rows = cut(_join(good.withColumn("pair", pair), where, n_groups, ["pair"]).select("doc_id", "own", "fits", *NAMES))
+    where = groups.select(pair.alias("pair"), F.when(level == 2, "source").when(level == 1, "language").otherwise("all").alias("fitted_on"), F.when(level == 2, own).when(level == 1, lang).otherwise(everything).alias("own"), fits.alias("fits"))
+    rows = cut(_join(good.withColumn("pair", pair), where.drop("fitted_on"), n_groups, ["pair"]).select("doc_id", "own", "fits", *NAMES))
     params = cut(fit(rows.select(F.explode("fits").alias("fit"), "doc_id", *NAMES)))
-    dealt = _join(stats.where("not base_failed").withColumn("pair", pair), where.select("pair", F.col("own").alias("fit")), n_groups, ["pair"])
+    dealt = _join(stats.where("not base_failed").withColumn("pair", pair), where.select("pair", "fitted_on", F.col("own").alias("fit")), n_groups, ["pair"])
     judged = _join(dealt, params, n_groups, ["fit"]).withColumn("distance", _distance())
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    bad = stats.where("base_failed").select(*base, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    return judged.select(*base, (F.col("distance") <= F.lit(CUTOFF)).alias("kept"), "distance").unionByName(bad)
+    bad = stats.where("base_failed").select(*base, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("fitted_on"))
+    return judged.select(*base, (F.col("distance") <= F.lit(CUTOFF)).alias("kept"), "distance", "fitted_on").unionByName(bad)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

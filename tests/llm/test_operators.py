@@ -92,6 +92,59 @@ def test_quality_rejects_repetition_alone(spark, kind):
     assert not any(got[1000 + i]["kept"] or got[1000 + i]["base_failed"] for i in range(5))
 
 
+def brute_mcd(x, rounds=300):
+    """Location and scatter of the subset of least determinant that many random starts' concentration steps come to."""
+    rng, n = np.random.default_rng(1), len(x)
+    h = math.ceil(quality.SUBSET * n)
+    best = None
+
+    def estimate(some):
+        return some.mean(0), quality.CONSISTENCY * np.cov(some.T, bias=True) + np.diag(np.square(quality.FLOORS))
+
+    for _ in range(rounds):
+        mean, scatter = estimate(x[rng.choice(n, quality.P + 2, replace=False)])
+        det = math.inf
+        while True:
+            d = ((x - mean) @ np.linalg.inv(scatter) * (x - mean)).sum(1)
+            mean, scatter = estimate(x[np.argsort(d, kind="stable")[:h]])
+            now = np.linalg.slogdet(scatter)[1]
+            if now >= det - 1e-12:
+                break
+            det = now
+        if best is None or det < best[0]:
+            best = det, mean, scatter
+    return best
+
+
+def test_quality_keeps_what_a_searched_mcd_keeps(spark):
+    """Three groups with outliers on each axis: determinants near those of 300 random starts, and the same verdicts."""
+    rng, vocabulary = random.Random(8), words(0, 4000, 4000).split()
+    wide = [x + "qrstuvwxyzq" for x in vocabulary]
+    rows = []
+    for g, size in (("a", 60), ("b", 90), ("c", 150)):
+        for i in range(size):
+            text = "\n".join(" ".join(rng.choices(vocabulary, k=rng.randrange(4, 9))) + rng.choice(["", "", " #", " & |"]) for _ in range(rng.randrange(12, 30)))
+            if i % 25 == 1:
+                text += " #$%&" * 60
+            if i % 25 == 2:
+                text = " ".join(rng.choices(wide, k=90))
+            if i % 25 == 3:
+                text += "\n" + "\n".join(["over again"] * 60 if i % 2 else [" ".join(rng.choices(vocabulary, k=40))] * 3)
+            rows.append((len(rows), text, "en", g, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stats = quality.statistics(docs).where("not base_failed").toPandas()
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    rejected = 0
+    for _, part in stats.groupby("source"):
+        x = part[list(quality.NAMES)].to_numpy() / quality.SCALE
+        _, mean, scatter = brute_mcd(x)
+        d = ((x - mean) @ np.linalg.inv(scatter) * (x - mean)).sum(1)
+        kept = dict(zip(part["doc_id"].tolist(), (d <= quality.CUTOFF).tolist(), strict=True))
+        assert {i: got[i]["kept"] for i in kept} == kept and got[min(kept)]["fitted_on"] == "source"
+        rejected += sum(not v for v in kept.values())
+    assert rejected >= 24
+
+
 def test_quality_is_one_whatever_the_partitions_and_join(spark, monkeypatch):
     rows = [(i, words(i, 60 + i % 90) + (" ## |" * (i % 7)), ("en", None)[i % 11 == 0], f"s{i % 3}", 0) for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -304,7 +357,8 @@ def repeated_rows():
         if i % 7 == 0:
             t += "ab" * 60 + common[: rng.randrange(45, 60)]
         rows.append((rng.randrange(50), t))
-    return rows + [(70, common), (71, common), (71, common), (72, common[:49]), (73, common[:50]), (None, common), (74, None), (75, ""), (0, common), (76, "x" * 600), (77, "x" * 300)]
+    return rows + [(70, common), (71, common), (71, common), (72, common[:49]), (73, common[:50]), (None, common), (74, None), (75, ""), (0, common), (76, "x" * 600), (77, "x" * 300),
+        (80, "abcde" * 9 + "abcd"), (81, "q" + "cdeab" * 60), (82, "bcdea" * 40 + "z" + common), (83, "de" + "abcde" * 30 + "r" * 55), (84, "r" * 49), (85, "er" * 70), (86, "re" * 26 + "r" * 60), (None, "er" * 70), (87, "abcde" * 2000)]
 
 
 @pytest.mark.parametrize("sizes", [(6 << 20, 3 << 20, 4096, 1 << 18), (3000, 1500, 4096, 1 << 18), (3000, 1500, 2, 128)])
