@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.patterns import HTML_TAGS
+from ..functions.schema import ALIASES, CLEANED, LISTS
 from ..sources.adapter import base_sql
 
 _W = r"[\p{L}\p{N}_]"
@@ -161,3 +162,75 @@ COMPACT_BLOCK = ", ".join([
     *(_line(a, b) for a, b in (("Desc: ", "description"), ("Personality: ", "personality"), ("Scenario: ", "scenario"), ("Greeting: ", "first_mes"), ("Example: ", "mes_example"), ("Notes: ", "creator_notes"))),
     _greetings("AltGreetings (N):", "- "), _book("Lorebook (N):", "- "), _line("System: ", "system_prompt"), "''",
 ])
+
+# --- cards as JSON, and payloads ---------------------------------------------------------------------------------------
+
+
+def _capped(x: str) -> str:
+    return f"{x} := {_cut(x)}"
+
+
+CARD_JSON = f"""to_json(struct_pack(name := name, nickname := nickname, character_version := '', {', '.join(map(_capped, ('description', 'personality', 'scenario', 'first_mes', 'mes_example')))}, source := []::varchar[], spec_version := spec_version,
+ source_keyword := '', source_file := source_file, bloat_chars_removed := bloat_chars_removed, tags := tags, {', '.join(map(_capped, ('creator_notes', 'system_prompt')))}, post_history_instructions := '',
+ alternate_greetings := list_transform(alternate_greetings, lambda g: {_cut('g')}), lorebook_entries := list_transform(lorebook_entries, lambda e: struct_pack(keys := e.keys, content := {_cut('e.content')}, comment := e.comment))))::varchar"""
+
+#: Columns of the round trip that the view has under another form, or not at all.
+_JSON_LIST = "to_json({})::varchar"
+ROUNDTRIP = {
+    "post_history_instructions": "''", "creator": "''", "character_version": "''", "tags": _JSON_LIST.format("tags"), "alternate_greetings": _JSON_LIST.format(f"list_transform(alternate_greetings, lambda g: {strip('g')})"),
+    "group_only_greetings": "'[]'", "source": "'[]'", "lorebook_entries": _JSON_LIST.format(f"list_transform(lorebook_entries, lambda e: struct_pack(keys := e.keys, content := {strip('e.content')}, comment := e.comment))"),
+    **{x: strip(x) for x in ("description", "personality", "scenario", "first_mes", "mes_example", "creator_notes", "system_prompt")},
+}
+
+
+def cleaned(x: str) -> str:
+    for name in STEPS:
+        x = step(name, x)
+    return x
+
+
+def _word(e: str) -> str:
+    return f"(case json_type({e}) when 'VARCHAR' then ({e})->>'$' when 'BOOLEAN' then upper(left(({e})::varchar, 1)) || substr(({e})::varchar, 2) else ({e})::varchar end)"
+
+
+def _truthy(e: str) -> str:
+    return f"""coalesce(({e})::varchar not in ('""', '0', '0.0', 'false', '[]', '{{}}', 'null'), false)"""
+
+
+def _list(e: str) -> str:
+    return f"coalesce(case json_type({e}) when 'VARCHAR' then [({e})->>'$'] when 'ARRAY' then list_transform(list_filter(({e})::json[], lambda y: {_truthy('y')}), lambda y: {_word('y')}) end, []::varchar[])"
+
+
+def _given(data: str, names: tuple[str, ...]) -> str:
+    """The first of a payload's names whose value is neither null nor empty text."""
+    return "coalesce(" + ", ".join(f"""case when ({data}->'$.{n}')::varchar not in ('null', '""') then {data}->'$.{n}' end""" for n in names) + ")"
+
+
+def _of_entry(name: str) -> str:
+    x = f"(e->'$.{name}')"
+    return f"coalesce(case when json_type{x} <> 'NULL' then {_word(x)} end, '')"
+
+
+def lorebook(data: str) -> str:
+    keys = "coalesce(" + ", ".join(f"case when {_truthy(x)} then {x} end" for x in ("(e->'$.keys')", "(e->'$.key')")) + ")"
+    fields = [f"keys := {_list(keys)}", f"content := {cleaned(_of_entry('content'))}", f"comment := {_of_entry('comment')}"]
+    return f"coalesce(list_transform(list_filter(({data}->'$.character_book.entries')::json[], lambda e: json_type(e) = 'OBJECT'), lambda e: struct_pack({', '.join(fields)})), [])"
+
+
+def parsed(last: str) -> str:
+    """Common tables up to `card`: the normalised card of each file, from its last chunk of each keyword."""
+    raw = ", ".join(f"{_list(f)} as r_{f}" if f in LISTS else f"coalesce({_word(f)}, '') as r_{f}" for f in ALIASES)
+    found = ", ".join(f"{_given('data', names)} as {f}" for f, names in ALIASES.items())
+    clean = ", ".join(f"{cleaned(f'r_{f}')} as c_{f}" for f in CLEANED)
+    removed = lambda before, after: f"greatest(0, length({step('newlines', before)}) - length({after}))"
+    lost = " + ".join(removed(f"r_{f}", f"c_{f}") for f in CLEANED)
+    many = f"coalesce(list_sum(list_transform(r_alternate_greetings, lambda g: {removed('g', cleaned('g'))})), 0)"
+    content = _of_entry("content")
+    books = f"coalesce(list_sum(list_transform(list_filter((data->'$.character_book.entries')::json[], lambda e: json_type(e) = 'OBJECT'), lambda e: {removed(content, cleaned(content))})), 0)"
+    columns = [f"c_{f} as {f}" if f in CLEANED else f"list_transform(r_{f}, lambda g: {cleaned('g')}) as {f}" if f == "alternate_greetings" else f"r_{f} as {f}" for f in ALIASES]
+    return f"""p as (select ord, keyword, case when json_valid(text) and json_type(text) = 'OBJECT' then text::json end as j from {last}),
+ u as (select ord, keyword, j->>'$.spec' as spec, case when spec like 'chara_card%' then j->'$.data' else j end as data,
+   case when spec like 'chara_card%' then coalesce(nullif(j->>'$.spec_version', ''), case when spec like '%v3%' then '3.0' else '2.0' end) else '1.0' end as spec_version from p where j is not null),
+ g as (select ord, keyword, spec_version, data, {found} from u), r as (select ord, keyword, spec_version, data, {raw} from g), k as (select *, {clean} from r),
+ ok as (select *, row_number() over (partition by ord order by keyword) as nth from k where r_name || c_description || c_personality || c_first_mes <> ''),
+ card as (select ord, keyword, spec_version, {', '.join(columns)}, {lorebook('data')} as lorebook_entries, ({lost} + {many} + {books})::bigint as bloat_chars_removed from ok where nth = 1)"""

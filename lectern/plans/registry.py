@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import struct
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.schema import ALIASES, LISTS
 from ..operators import aggregate as A
 from ..operators import features as D
 from ..operators import render as K
@@ -236,42 +241,45 @@ _add(
     lambda s, d: K.blocks(_ranked(s, d), "md", total=c("total"), extra="all").select("ord", "rank", X.token_heuristic(c("block")).alias("tokens")),
     O.with_scores(f"select ord, rank, {O.tokens('block')} as tokens from (select ord, rank, concat_ws(chr(10), {O.MD_BLOCK}) as block from ranked)"),
 )
-_add("cards_json", lambda s, d: K.as_dict(_ranked(s, d), place="rank", cap=P.MAX_CHARS, full_top=P.FULL_TOP))
-_add("json_cards_roundtrip", lambda s, d: S.from_json(K.as_dict(adapter.cards(s, d))))
+_add("cards_json", lambda s, d: K.as_dict(_ranked(s, d), place="rank", cap=P.MAX_CHARS, full_top=P.FULL_TOP), O.with_scores(f"select ord, rank, {O.CARD_JSON} as json from ranked"))
+_TRIP = ", ".join(f"{O.ROUNDTRIP.get(x, x)} as {x}" for x in (*ALIASES, "lorebook_entries"))
+_add("json_cards_roundtrip", lambda s, d: _flat(S.from_json(K.as_dict(adapter.cards(s, d))).drop("ord")), O.with_cards(f"select {_TRIP}, spec_version, '' as source_keyword, source_file, bloat_chars_removed from cards"))
 
 # --- payloads ----------------------------------------------------------------------------------------------------------
-_NAME = "regexp_replace(source, '[^a-z0-9]', '')"
-#: Chunks of three keywords' worth for each document, as SQL for both engines; the third repeats the first's keyword.
+#: Chunks of three keywords' worth for each document, with its whole text (jtext: as JSON), as SQL for both engines; the third
+#: repeats the first's keyword.
 _CHUNKS = """
-select doc_id as ord, 0 as ordinal, 'chara' as keyword, '{"name":"First ' || cast(doc_id as STR) || '"}' as text from DOCUMENTS
-union all select doc_id, 1, 'ccv3', case doc_id % 5 when 0 then '' when 1 then 'not json' when 2 then '{"spec":"chara_card_v3","data":{}}' when 3 then '{"spec":"chara_card_v3","spec_version":"3.1","data":{"name":"Three ' || cast(doc_id as STR) || '","greeting":"Hi ' || lang || '","first_mes":""}}' else '{"spec":"chara_card_v3","data":{"name":"","description":"From ' || source || '"}}' end from DOCUMENTS
-union all select doc_id, 2, 'chara', case when doc_id % 2 = 0 then '{"spec":"chara_card_v2","data":{"name":"Two ' || cast(doc_id as STR) || '","creatorcomment":"c","tags":"one"}}' when doc_id % 7 = 1 then '[]' else '{"name":"One ' || cast(doc_id as STR) || '","example_dialogue":"x","greeting":"Hello"}' end from DOCUMENTS
+select doc_id as ord, 0 as ordinal, 'chara' as keyword, '{"name":"First ' || cast(doc_id as STR) || '","description":' || jtext || '}' as text from DOCUMENTS
+union all select doc_id, 1, 'ccv3', case doc_id % 5 when 0 then '' when 1 then 'not json' when 2 then '{"spec":"chara_card_v3","data":{}}'
+  when 3 then '{"spec":"chara_card_v3","spec_version":"3.1","data":{"name":"Three ' || cast(doc_id as STR) || '","greeting":' || jtext || ',"first_mes":"","nickname":null,"alternate_greetings":["Hi  there",5,"",true],"character_book":{"entries":[{"key":"k","content":' || jtext || '},7]}}}'
+  else '{"spec":"chara_card_v3","data":{"name":"","description":' || jtext || ',"source":["' || source || '"],"tags":["' || lang || '",1.5,null],"creator":7}}' end from DOCUMENTS
+union all select doc_id, 2, 'chara', case when doc_id % 2 = 0 then '{"spec":"chara_card_v2","data":{"name":"Two ' || cast(doc_id as STR) || '","creatorcomment":"c","tags":"one","mes_example":' || jtext || '}}' when doc_id % 7 = 1 then '[]'
+  else '{"name":"One ' || cast(doc_id as STR) || '","example_dialogue":' || jtext || ',"greeting":"Hello <b>you</b>","scenario":5,"personality":false}' end from DOCUMENTS
 """
 
 
+def _json_text(text: Column) -> Column:
+    """A text as JSON, quotes included: the value of {"v":...}."""
+    return S.let(F.to_json(F.struct(text.alias("v"))), lambda j: F.substring(j, F.lit(6), F.length(j) - 6))
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     sql = _CHUNKS.replace("STR)", "string)").replace("{", "{{").replace("}", "}}").replace("DOCUMENTS", "{documents}")
-    return spark.sql(sql, documents=_table(spark, d, "documents"))
+    rows = _table(spark, d, "documents").select("doc_id", *(F.coalesce(x, F.lit("")).alias(x) for x in ("lang", "source")), _json_text(F.coalesce("text", F.lit(""))).alias("jtext"))
+    return spark.sql(sql, documents=rows)
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks as files: path, chunks, error; base64 for every other document."""
+    """The chunks as files: path, chunks, error; base64 for every third document."""
     rows = _chunks(spark, d)
     text = F.when(c("ord") % 3 == 0, F.base64(F.encode("text", "UTF-8"))).otherwise(c("text"))
     one = F.struct(c("ordinal").cast("int").alias("ordinal"), "keyword", text.alias("text"), F.lit("tEXt").alias("chunk_type"))
     return rows.groupBy(c("ord").alias("path")).agg(F.array_sort(F.collect_list(one)).alias("chunks")).withColumn("error", F.lit(None).cast("string"))  # three chunks a file
 
 
-_CHUNK_SQL = _CHUNKS.replace("STR)", "varchar)").replace("DOCUMENTS", "documents")
+_CHUNK_SQL = _CHUNKS.replace("STR)", "varchar)").replace("DOCUMENTS", "(select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, to_json(coalesce(text, ''))::varchar as jtext from documents)")
 _LAST = f"with chunks as ({_CHUNK_SQL}), last as (select ord, keyword, arg_max(text, ordinal) as text from chunks group by 1, 2)"
-_PARSED = f"""{_LAST}, p as (select ord, keyword, case when json_valid(text) and json_type(text) = 'OBJECT' then text::json end as j from last),
- u as (select ord, keyword, j, j->>'$.spec' as spec, case when spec like 'chara_card%' then j->'$.data' else j end as data,
-   case when spec like 'chara_card%' then coalesce(nullif(j->>'$.spec_version', ''), case when spec like '%v3%' then '3.0' else '2.0' end) else '1.0' end as spec_version from p where j is not null),
- f as (select *, coalesce(data->>'$.name', '') as name, coalesce(data->>'$.description', '') as description, coalesce(nullif(data->>'$.first_mes', ''), nullif(data->>'$.greeting', ''), '') as first_mes,
-   coalesce(nullif(data->>'$.mes_example', ''), nullif(data->>'$.example_dialogue', ''), '') as mes_example, coalesce(nullif(data->>'$.creator_notes', ''), nullif(data->>'$.creatorcomment', ''), '') as creator_notes,
-   coalesce(data->>'$.tags', '') as tags from u),
- ok as (select *, row_number() over (partition by ord order by keyword) as nth from f where name || description || first_mes <> ''),
- card as (select * from ok where nth = 1)"""
+_PARSED = f"{_LAST}, {O.parsed('last')}"
 _add(
     "chunk_last_wins",
     lambda s, d: _chunks(s, d).groupBy("ord", "keyword").agg(F.max_by("text", "ordinal").alias("text")),
@@ -287,23 +295,34 @@ def _of_card(*columns: str) -> Query:
     return lambda s, d: _parsed(s, d).where("card is not null").select("ord", *(c(f"card.{x}").alias(x) for x in columns))
 
 
+def _flat(cards: DataFrame) -> DataFrame:
+    """Cards with their lists as JSON, which both engines write alike."""
+    return cards.select(*(F.to_json(x).alias(x) if t.startswith("array") else c(x) for x, t in cards.dtypes))
+
+
+_JOINED = ", ".join(f"array_to_string({x}, '|') as {x}" for x in LISTS)
+_NORMAL = ", ".join(f"to_json({x})::varchar as {x}" if x in LISTS else x for x in ALIASES)
 _add("prefer_v3", _of_card("source_keyword", "name"), f"{_PARSED} select ord, keyword as source_keyword, name from card")
 _add("spec_version_detect", _of_card("spec_version"), f"{_PARSED} select ord, spec_version from card")
 _add("alias_coalesce", _of_card("first_mes", "mes_example", "creator_notes"), f"{_PARSED} select ord, first_mes, mes_example, creator_notes from card")
 _add("non_empty_cards", _of_card("name", "description"), f"{_PARSED} select ord, name, description from card")
-_add("coerce_list", lambda s, d: _parsed(s, d).where("card is not null").select("ord", F.array_join("card.tags", "|").alias("tags")), f"{_PARSED} select ord, tags from card")
+_add("coerce_list", lambda s, d: _parsed(s, d).where("card is not null").select("ord", *(F.array_join(f"card.{x}", "|").alias(x) for x in LISTS)), f"{_PARSED} select ord, {_JOINED} from card")
 _add("extraction_failures", lambda s, d: _parsed(s, d).where("card is null").select("ord", c("error").alias("reason")), f"{_PARSED} select ord, '{S.NO_CARD}' as reason from (select distinct ord from chunks) where ord not in (select ord from card)")
-_add("normalized_cards", lambda s, d: _parsed(s, d).where("card is not null").select("ord", "card.*"))
+_add(
+    "normalized_cards",
+    lambda s, d: _flat(_parsed(s, d).where("card is not null").select("ord", "card.*")),
+    f"{_PARSED} select ord, {_NORMAL}, to_json(lorebook_entries)::varchar as lorebook_entries, spec_version, keyword as source_keyword, bloat_chars_removed from card",
+)
 _add(
     "decode_payload",
     lambda s, d: _files(s, d).select(c("path").alias("ord"), F.explode("chunks").alias("k")).select("ord", c("k.ordinal").cast("long").alias("ordinal"), S.decoded(c("k.text")).isNotNull().alias("valid")),
     f"with chunks as ({_CHUNK_SQL}) select ord, ordinal::bigint as ordinal, json_valid(text) and text <> '' as valid from chunks",
 )
-_BOOK = "'{\"name\":\"B\",\"character_book\":{\"entries\":[{\"keys\":[\"' || lang || '\",\"' || source || '\"],\"content\":\"about ' || source || '\"},5,{\"key\":\"solo\",\"content\":\"one  two\",\"comment\":\"n\"},{\"content\":\"bare\"}]}}'"
+_BOOK = """'{"name":"B","character_book":{"entries":[{"keys":["' || lang || '","' || source || '"],"content":' || jtext || '},5,{"key":"solo","content":"one  two","comment":"n"},{"content":"bare"}]}}'"""
 
 
 def _lorebook(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "documents").select(c("doc_id").alias("ord"), F.try_parse_json(F.expr(_BOOK)).alias("data"))
+    rows = _table(spark, d, "documents").withColumn("jtext", _json_text(F.coalesce("text", F.lit("")))).select(c("doc_id").alias("ord"), F.try_parse_json(F.expr(_BOOK)).alias("data"))
     book = rows.select("ord", F.posexplode(S.lorebook(c("data"))).alias("i", "e"))
     return book.select("ord", c("i").cast("long").alias("i"), F.array_join("e.keys", "|").alias("keys"), X.cleaned(c("e.content")).alias("content"), c("e.comment").alias("comment"))
 
@@ -311,26 +330,38 @@ def _lorebook(spark: SparkSession, d: str) -> DataFrame:
 _add(
     "lorebook_explode",
     _lorebook,
-    """select ord, i::bigint as i, keys, content, comment from (select doc_id as ord, unnest([0, 1, 2]) as i, case i when 0 then lang || '|' || source when 1 then 'solo' else '' end as keys,
-      case i when 0 then 'about ' || source when 1 then 'one two' else 'bare' end as content, case i when 1 then 'n' else '' end as comment from documents)""",
+    f"""with d as (select doc_id as ord, ({_BOOK})::json as data from (select *, to_json(coalesce(text, ''))::varchar as jtext from documents)), e as (select ord, {O.lorebook('data')} as book from d)
+      select ord, (i - 1)::bigint as i, array_to_string(book[i].keys, '|') as keys, book[i].content as content, book[i].comment as comment from (select ord, book, unnest(range(1, len(book) + 1)) as i from e)""",
 )
 
 
+def _png_file(number: int, text: str) -> bytes:
+    """A PNG file as input: a tEXt, a zTXt and an iTXt chunk (compressed for odd numbers) of the text, then IEND."""
+    if number % 50 == 0:
+        return b"GIF89a"
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw, packed = text.encode(), number % 2
+    plain = base64.b64encode(raw)
+    return b"".join([
+        png.SIGNATURE, chunk(b"tEXt", b"chara\0" + plain), chunk(b"zTXt", b"ccv3\0\0" + zlib.compress(plain)),
+        chunk(b"iTXt", b"Comment\0" + bytes([packed, 0]) + b"en\0note\0" + (zlib.compress(raw) if packed else raw)), chunk(b"IEND", b""),
+    ])
+
+
 def _png(spark: SparkSession, d: str) -> DataFrame:
-    """Text chunks of PNG bytes made from the documents: signature, one tEXt chunk of the source, IEND."""
-    body = F.concat(F.lit("chara\0").cast("binary"), F.encode(F.base64(F.encode(F.concat(F.lit('{"name":"'), "source", F.lit('"}')), "UTF-8")), "UTF-8"))
-    size = F.unhex(F.lpad(F.hex(F.octet_length(body).cast("long")), 8, "0"))
-    data = F.concat(F.lit(bytearray(png.SIGNATURE)), size, F.lit(bytearray(b"tEXt")), body, F.lit(bytearray(4)), F.lit(bytearray(b"\0\0\0\0IEND\xaeB`\x82")))
-    files = _table(spark, d, "documents").select(c("doc_id").cast("string").alias("path"), F.when(c("doc_id") % 50 == 0, F.lit(bytearray(b"GIF89a"))).otherwise(data).alias("content"))
+    """Text chunks of PNG bytes made from the documents."""
+    made = F.pandas_udf(lambda number, text: pd.Series([_png_file(n, t) for n, t in zip(number, text, strict=True)]), "binary")
+    files = _table(spark, d, "documents").select(c("doc_id").cast("string").alias("path"), made("doc_id", F.coalesce("text", F.lit(""))).alias("content"))
     found = png.with_chunks(files)
-    return found.select(c("path").cast("long").alias("ord"), F.explode_outer("chunks").alias("k"), "error").select("ord", c("k.keyword").alias("keyword"), c("k.text").alias("text"), c("k.chunk_type").alias("chunk_type"), "error")
+    return found.select(c("path").cast("long").alias("ord"), F.explode_outer("chunks").alias("k"), "error").select("ord", F.coalesce("k.ordinal", F.lit(-1)).cast("long").alias("ordinal"), c("k.keyword").alias("keyword"), c("k.text").alias("text"), c("k.chunk_type").alias("chunk_type"), "error")
 
 
 _add(
     "png_text_chunks",
     _png,
-    f"""select doc_id as ord, case when doc_id % 50 <> 0 then 'chara' end as keyword, case when doc_id % 50 <> 0 then to_base64(encode('{{"name":"' || source || '"}}')) end as text,
-      case when doc_id % 50 <> 0 then 'tEXt' end as chunk_type, case when doc_id % 50 = 0 then '{png.NOT_A_PNG}' end as error from documents""",
+    f"""with d as (select doc_id, doc_id % 50 <> 0 as sound, coalesce(text, '') as text from documents), k as (select unnest([0, 1, 2]) as i)
+      select doc_id as ord, case when sound then i::bigint else -1 end as ordinal, case when sound then ['chara', 'ccv3', 'Comment'][i + 1] end as keyword, case when sound then case when i < 2 then to_base64(encode(text)) else text end end as text,
+      case when sound then ['tEXt', 'zTXt', 'iTXt'][i + 1] end as chunk_type, case when not sound then '{png.NOT_A_PNG}' end as error from d, k where sound or i = 0""",
 )
 
 

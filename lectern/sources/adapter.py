@@ -1,6 +1,6 @@
 """A card view of the tables documents and conversations, so that the card operators run on them.
 
-The view is one SQL text for both Spark and the tests' database: NL and CR stand for line ends, STR for the text type,
+Every card has its document's whole text. The view is one SQL text for both Spark and the tests' database: NL and CR stand for line ends, STR for the text type,
 FOLD for the conversations folded to example dialogues.
 """
 
@@ -15,25 +15,25 @@ BASE = """
 select doc_id as ord, lang, source,
  case when doc_id % 50 = 49 then '' when doc_id % 9 = 0 then 'Card ' || cast(doc_id as STR) || ' & Co' else 'Card ' || cast(doc_id as STR) end as name,
  case when doc_id % 100 = 49 then 'Nick ' || cast(doc_id as STR) else '' end as nickname,
- case when doc_id % 10 < 3 then '<Name>'||NL||'>Appearance'||NL||'+ '||substring(text,1,400)||NL||'>Personality'||NL||'+ warm'||NL||'>Backstory'||NL||'+ '||source||NL||'</Name>'
-      when doc_id % 10 = 3 then '<Ana>'||CR||NL||'Appearance'||CR||NL||substring(text,1,200)||'.'||CR||NL||'Backstory'||CR||NL||'far.'||NL||'</Ana>'||NL||'<Bo>'||NL||'Appearance'||NL||'short.'||NL||'</Bo>'
-      when doc_id % 10 < 7 then 'Appearance'||NL||substring(text,1,300)||'.'||NL||'Personality'||NL||lang||' speaker.'||NL||'Backstory'||NL||'from '||source||'.'
-      when doc_id % 10 = 7 then 'Alone'||NL||'--------'||NL||substring(text,1,500)||'.'||NL||'★★★★★'||NL||'end.'
-      when doc_id % 10 = 8 then '<b>'||substring(text,1,200)||'</b><!-- x -->'||NL||NL||NL||NL||'<img src="data:image/png;base64,AAAAAAAAAAAAAAAAAAAAAAAA"> a   b ![p](http://x) <:smile:123>'||NL||'<NPCs>'||NL||'<Mira> hi </Mira>'||NL||'</NPCs>.  '
+ case when doc_id % 10 < 3 then '<Name>'||NL||'>Appearance'||NL||'+ '||text||NL||'>Personality'||NL||'+ warm'||NL||'>Backstory'||NL||'+ '||source||NL||'</Name>'
+      when doc_id % 10 = 3 then '<Ana>'||CR||NL||'Appearance'||CR||NL||text||'.'||CR||NL||'Backstory'||CR||NL||'far.'||NL||'</Ana>'||NL||'<Bo>'||NL||'Appearance'||NL||'short.'||NL||'</Bo>'
+      when doc_id % 10 < 7 then 'Appearance'||NL||text||'.'||NL||'Personality'||NL||lang||' speaker.'||NL||'Backstory'||NL||'from '||source||'.'
+      when doc_id % 10 = 7 then 'Alone'||NL||'--------'||NL||text||'.'||NL||'★★★★★'||NL||'end.'
+      when doc_id % 10 = 8 then '<b>'||text||'</b><!-- x -->'||NL||NL||NL||NL||'<img src="data:image/png;base64,AAAAAAAAAAAAAAAAAAAAAAAA"> a   b ![p](http://x) <:smile:123>'||NL||'<NPCs>'||NL||'<Mira> hi </Mira>'||NL||'</NPCs>.  '
       when doc_id % 200 = 9 then ''
       else text end as raw_description,
  case when doc_id % 11 = 5 then '*He nods.* He leaves without a word.'
       when doc_id % 7 = 0 then NL||'11:12 PM | August 6 | Rain | Hall'||NL||NL||'*She waits.*'
-      when doc_id % 3 = 0 then '*She looks up.* "'||substring(text,1,40)||'"'
-      when doc_id % 3 = 1 then substring(text,1,120)||NL||NL||'thinks `maybe later`.' else '' end as first_mes,
+      when doc_id % 3 = 0 then '*She looks up.* "'||text||'"'
+      when doc_id % 3 = 1 then text||NL||NL||'thinks `maybe later`.' else '' end as first_mes,
  case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then '<instructions>stay in role</instructions>' else 'A tavern with {{user}}.' end as scenario,
  case when doc_id % 4 = 1 then lang || ' and calm' else '' end as personality,
  case when doc_id % 5 = 2 then 'Notes from ' || source else '' end as creator_notes,
  case when doc_id % 6 = 1 then 'Stay in role.' else '' end as system_prompt,
  case when doc_id % 3 = 0 then '1.0' when doc_id % 3 = 1 then '2.0' else '3.0' end as spec_version,
  'cards/' || source || '/' || cast(doc_id as STR) || '.png' as source_file,
- substring(text,1,80) as note, coalesce(c.ex, '') as mes_example
-from DOCUMENTS left join (FOLD) c on c.conv_id = DOCUMENTS.doc_id
+ text as note, coalesce(c.ex, '') as mes_example
+from (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from DOCUMENTS) d left join (FOLD) c on c.conv_id = d.doc_id
 """
 
 FOLD = """select conv_id, '<START>' || NL || AGG as ex from CONVERSATIONS group by conv_id"""
@@ -49,7 +49,7 @@ def base_sql(aggregate: str, text_type: str, documents: str = "documents", conve
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view before cleaning."""
     sql = base_sql("listagg(TURN, NL) within group (order by turn)", "string", "documents", "conversations")
-    sql = sql.replace("{{", "{{{{").replace("}}", "}}}}").replace("from documents", "from {documents} documents").replace("from conversations", "from {conversations} conversations")
+    sql = sql.replace("{{", "{{{{").replace("}}", "}}}}").replace("from documents)", "from {documents})").replace("from conversations", "from {conversations} conversations")
     return spark.sql(sql, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
