@@ -120,9 +120,9 @@ class _Links:
             n = len(self.label)
             self.label = forest(n, np.concatenate([np.arange(n), a]), np.concatenate([self.label, b]))
 
-    def table(self, names: list[bytes]) -> pa.Table:
+    def table(self, names: np.ndarray) -> pa.Table:
         some = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return pa.table({"a": pa.array([names[i] for i in some.tolist()], pa.binary()), "b": pa.array([names[i] for i in self.label[some].tolist()], pa.binary())})
+        return pa.table({"a": pa.array(names[some]), "b": pa.array(names[self.label[some]])})
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,8 +131,7 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _candidates(t: pa.Table) -> pa.Table:
     """Links among rows that share a key and lie within the radius."""
-    names = t["digest"].combine_chunks().dictionary_encode()
-    row, names = names.indices.to_numpy(), names.dictionary.to_pylist()
+    names, row = np.unique(t["v"].to_numpy(), return_inverse=True)
     key, part = t["key"].to_numpy(), t["part"].to_numpy()
     fps = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
     pops = np.bitwise_count(fps).sum(1, dtype=np.int16)
@@ -234,30 +233,31 @@ def exact_links(sets: list[np.ndarray], part: np.ndarray, whole: bool, similarit
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """id and group of every row: rows of one group are connected by links of `similarity` or more."""
+    """id and group (a number; null for rows without words) of every row: rows of one group are connected by links of
+    `similarity` or more."""
     rows = cut(_sketches(docs, id_col, text_col, width))
     distinct = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("id").alias("id"), F.first("n").alias("n"))
-    distinct = cut(distinct.where("n > 0"))
+    distinct = cut(distinct.where("n > 0").withColumn("v", F.monotonically_increasing_id()))
 
     def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, BANDS)
                 for k in range(BANDS):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), b.column(0), b.column(1)], names=["key", "digest", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), b.column(0), b.column(1)], names=["key", "v", "fp"])
 
-    met = distinct.select("digest", "fp", "keys").mapInArrow(released(banded), "key long, digest binary, fp binary")
+    met = distinct.select("v", "fp", "keys").mapInArrow(released(banded), "key long, v long, fp binary")
     n_groups = max(1, BANDS * distinct.count() // GROUP_ROWS)
     hot = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS).select("key", F.ceil(F.col("n") / (SPLIT_ROWS // 2)).cast("int").alias("parts"))
-    dealt = _spread(met, "key", "digest", hot).withColumn("bucket", F.when(F.col("hot"), F.col("key")).otherwise(F.pmod("key", F.lit(n_groups)))).select("bucket", "hot", "p", "q", "part", "key", "digest", "fp")
-    candidates = cut(components(dealt.groupBy("bucket", "hot", "p", "q").applyInArrow(_candidates, "a binary, b binary")).withColumnsRenamed({"vertex": "digest", "root": "candidate"}))
+    dealt = _spread(met, "key", "v", hot).withColumn("bucket", F.when(F.col("hot"), F.col("key")).otherwise(F.pmod("key", F.lit(n_groups)))).select("bucket", "hot", "p", "q", "part", "key", "v", "fp")
+    candidates = cut(components(dealt.groupBy("bucket", "hot", "p", "q").applyInArrow(_candidates, "a long, b long")).withColumnsRenamed({"vertex": "v", "root": "candidate"}))
 
     # The texts of candidates only: one for each shingle set.
-    chosen = distinct.join(candidates, "digest").select("id", "digest", "candidate", "n")
+    chosen = distinct.join(candidates, "v").select("id", "digest", "v", "candidate", "n")
     sizes = cut(chosen.groupBy("candidate").agg((8 * F.sum("n") + 64 * F.count("*")).alias("size")))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_groups = max(1, int(total) // GROUP_BYTES)
-    wanted = chosen.select(F.col("id").alias("of"), "digest", "candidate")
+    wanted = chosen.select(F.col("id").alias("of"), "digest", "v", "candidate")
     texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("of")))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,29 +272,24 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         rows.append(i)
                         sets.append(raw)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(sets, pa.binary())], names=["digest", "candidate", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(3).take(at), pa.array(sets, pa.binary())], names=["v", "candidate", "hashes"])
 
-    hashes = texts.select("text", "digest", "candidate").mapInArrow(released(hashed), "digest binary, candidate binary, hashes binary")
+    hashes = texts.select("text", "digest", "v", "candidate").mapInArrow(released(hashed), "v long, candidate long, hashes binary")
     hot = sizes.where(F.col("size") > GROUP_BYTES).select("candidate", F.ceil(F.col("size") / (GROUP_BYTES // 2)).cast("int").alias("parts"))
-    dealt = _spread(hashes, "candidate", "digest", hot).withColumn("bucket", F.when(F.col("hot"), F.xxhash64("candidate")).otherwise(F.pmod(F.xxhash64("candidate"), F.lit(n_groups))))
+    dealt = _spread(hashes, "candidate", "v", hot).withColumn("bucket", F.when(F.col("hot"), F.xxhash64("candidate")).otherwise(F.pmod(F.xxhash64("candidate"), F.lit(n_groups))))
 
     def verify(t: pa.Table) -> pa.Table:
-        first: dict[bytes, int] = {}  # tasks may each have sent a copy's set
-        for i, x in enumerate(t["digest"].to_pylist()):
-            first.setdefault(x, i)
-        t = t.take(pa.array(first.values(), pa.int64())).sort_by("candidate")
-        names, group, part = t["digest"].to_pylist(), t["candidate"].to_pylist(), t["part"].to_numpy()
+        _, first = np.unique(t["v"].to_numpy(), return_index=True)  # tasks may each have sent a copy's set
+        t = t.take(pa.array(first)).sort_by("candidate")
+        names, group, part = t["v"].to_numpy(), t["candidate"].to_numpy(), t["part"].to_numpy()
         whole = t["p"][0].as_py() == t["q"][0].as_py()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"]]
-        starts = [i for i in range(len(group)) if not i or group[i] != group[i - 1]]
-        a, b = [], []
-        for i, j in zip(starts, [*starts[1:], len(group)], strict=True):
-            label = exact_links(sets[i:j], part[i:j], whole, similarity)
-            for k in np.flatnonzero(label != np.arange(j - i)).tolist():
-                a.append(names[i + k])
-                b.append(names[i + int(label[k])])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    links = dealt.select("bucket", "hot", "p", "q", "part", "digest", "candidate", "hashes").groupBy("bucket", "hot", "p", "q").applyInArrow(verify, "a binary, b binary")
-    roots = cut(components(links).withColumnRenamed("vertex", "digest"))
-    return rows.join(roots, "digest", "left").select("id", F.coalesce("root", "digest").alias("group"))
+        edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        label = np.concatenate([i + exact_links(sets[i:j], part[i:j], whole, similarity) for i, j in zip(edges, edges[1:])])
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(names[some]), "b": pa.array(names[label[some]])})
+
+    links = dealt.select("bucket", "hot", "p", "q", "part", "v", "candidate", "hashes").groupBy("bucket", "hot", "p", "q").applyInArrow(verify, "a long, b long")
+    roots = cut(components(links).withColumnRenamed("vertex", "v"))
+    known = distinct.select("digest", "v").join(roots, "v", "left").select("digest", F.coalesce("root", "v").alias("group"))
+    return rows.select("id", "digest").join(known, "digest", "left").select("id", "group")

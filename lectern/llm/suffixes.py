@@ -36,7 +36,7 @@ from ._shared import batches_of, column, cut, release, released, table, to_blob,
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text that a part, and a bucket of runs, are planned for.
-PART_BYTES, BUCKET_BYTES = 6 << 20, 3 << 20
+PART_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 #: Parts that meet a hash before it is dealt on as single strings.
 HOT = 4096
 #: Bytes of the first buckets' prefixes.
@@ -44,7 +44,7 @@ Q = 25
 #: Bytes of text that numpy works on at once; a longer document is cut there, with LENGTH - 1 bytes in common.
 BLOCK = 1 << 18
 #: Bytes of text whose hashes are sent together, and that are packed together.
-SEND_BYTES, PACK_BYTES = 4 << 20, 16 << 20
+SEND_BYTES, PACK_BYTES = 2 << 20, 8 << 20
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
