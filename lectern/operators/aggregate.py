@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..plans.session import cut
 from .features import CORE
 
 c = F.col
@@ -83,12 +84,14 @@ def section_names(features: DataFrame) -> DataFrame:
     own = features.where(c("has_description") & c("sections")).select("ord", "section_names")
     last = F.greatest(F.size("section_names") - 1, F.lit(1))
     first = F.transform("section_names", lambda x, i: F.struct(X.strip(x).alias("name"), (i / last).alias("at"), i.alias("i")))
-    # A name's first place in its card, found within the row: no shuffle by card is needed.
+    # A name's first place in its card, found within the row: no shuffle by card is needed. One nameless entry counts the card.
     once = F.filter(first, lambda s: F.array_position(F.transform(first, lambda t: F.lower(t["name"])), F.lower(s["name"])) == s["i"] + 1)
-    seen = own.select("ord", F.explode(once).alias("s")).select("ord", "s.name", "s.at", "s.i")
-    total = own.count()
-    by_name = seen.groupBy("name").agg(F.count("*").alias("cards"), F.avg("at").alias("position"), F.min(F.struct("ord", "i")).alias("first_seen"))
-    kept = by_name.where((c("cards") >= P.COMMON_SHARE * total) & (c("cards") >= P.MIN_SECTION_NAME_CARDS))
+    card = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("at"), F.lit(-1).alias("i")))
+    seen = own.select("ord", F.explode(F.concat(once, card)).alias("s")).select("ord", "s.name", "s.at", "s.i")
+    by_name = cut(seen.groupBy("name").agg(F.count("*").alias("cards"), F.avg("at").alias("position"), F.min(F.struct("ord", "i")).alias("first_seen")))
+    counted = by_name.where("name is null").first()
+    total = counted["cards"] if counted else 0
+    kept = by_name.where(c("name").isNotNull() & (c("cards") >= P.COMMON_SHARE * total) & (c("cards") >= P.MIN_SECTION_NAME_CARDS))
     place = F.row_number().over(Window.orderBy("position", "first_seen"))  # of the few names at or above the share
     return kept.select("name", "cards", F.round("position", 6).alias("position"), place.cast("long").alias("place"))
 

@@ -27,7 +27,8 @@ def named_blocks(description: Column) -> Column:
         opened = F.position(F.concat(F.lit("<"), x, F.lit(">")), description)
         return F.position(F.concat(F.lit("</"), x, F.lit(">")), description, opened) > 0
 
-    return F.array_distinct(F.transform(F.filter(names, closed), lambda x: F.lower(F.trim(x))))
+    found = F.array_distinct(F.transform(F.filter(names, closed), lambda x: F.lower(F.trim(x))))
+    return F.when(F.contains(description, F.lit("</")), found).otherwise(F.array().cast("array<string>"))
 
 
 def paragraphs(text: Column) -> Column:

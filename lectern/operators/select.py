@@ -38,9 +38,10 @@ def scored(features: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """`df` with each row's place (from 1) in a global order.
 
-    Rows are sorted by ranges in parallel and numbered within their range; only the ranges' counts meet in one task.
+    Rows are sorted by ranges in parallel and numbered within their range; only the ranges' counts meet in one task. `df` should
+    be narrow: it is written first, as finding the ranges and sorting by them would compute it twice.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(df).repartitionByRange(*order).sortWithinPartitions(*order)
     own = F.monotonically_increasing_id()
     placed = cut(ranged.withColumns({"range__": F.shiftright(own, 33), "nth__": own.bitwiseAND((1 << 33) - 1)}))
     before = placed.groupBy("range__").agg(F.count("*").alias("n")).withColumn("before__", F.coalesce(F.sum("n").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -51,9 +52,9 @@ def best_first() -> list[Column]:
     return [F.desc("score"), F.lower("name"), F.asc("ord")]
 
 
-def rank_cards(scored_cards: DataFrame) -> DataFrame:
-    """ord, name, score, rank: the best first, then by name, then by order found."""
-    return numbered(scored_cards.select("ord", "name", "score"), best_first())
+def rank_cards(scored_cards: DataFrame, *more: str) -> DataFrame:
+    """ord, name, score, `more` columns, rank: the best first, then by name, then by order found."""
+    return numbered(scored_cards.select("ord", "name", "score", *more), best_first())
 
 
 def select_best(scored_cards: DataFrame, limit: int | None) -> DataFrame:
@@ -81,7 +82,7 @@ def structure_consistency(scored_cards: DataFrame) -> DataFrame:
 
     Running counts are taken within ranges of the ranking and added to those of earlier ranges.
     """
-    flags = scored_cards.where("has_description").select("ord", "name", "score", F.when(c("sections"), 1).otherwise(0).cast("long").alias("flag"))
+    flags = cut(scored_cards.where("has_description").select("ord", "name", "score", F.when(c("sections"), 1).otherwise(0).cast("long").alias("flag")))
     order = best_first()
     ranged = flags.repartitionByRange(*order).sortWithinPartitions(*order)
     own = F.monotonically_increasing_id()

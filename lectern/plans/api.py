@@ -38,9 +38,9 @@ class Options:
     pinned: tuple[str, ...] = ()
 
 
-def extract(spark: SparkSession, inputs: list[str], recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Cards and failures (path, reason) of PNG files and folders."""
-    return S.extract(png.scan(spark, inputs, recursive))
+def extract(spark: SparkSession, inputs: list[str], recursive: bool = True, any_case: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cards and failures (path, reason) of PNG files and folders; with any_case *.PNG files too."""
+    return S.extract(png.scan(spark, inputs, recursive, any_case))
 
 
 def _first(df: DataFrame) -> dict:
@@ -87,55 +87,105 @@ def _blocks(placed: DataFrame, o: Options) -> DataFrame:
     return K.blocks(placed, o.format, total=F.col("total"), cap=cap, full_top=o.full_top, extra=K.extra_fields(o.fields), caps=caps)
 
 
-def export(cards: DataFrame, o: Options = Options()) -> str:
-    """The whole document. Blocks are made in parallel and read in order."""
-    if o.format not in FORMATS:
-        raise ValueError(f"unknown format {o.format!r}")
-    placed = ordered(cards, o)
-    tags = "tags" in K.extra_fields(o.fields)
-    known = corpus(placed, tags)
+@dataclass(frozen=True)
+class Exported:
+    """A finished document with what it was made from."""
+
+    text: str
+    tokens: T.TokenCount
+    corpus: G.Corpus
+    placed: DataFrame
+
+
+def _frame(known: G.Corpus, o: Options) -> tuple[str, str]:
+    """What stands before the cards' blocks and after them; of JSON, the keys before and after `cards`."""
     n = known.summary["total_cards"]
-    blocks = [r["block"] for r in _blocks(placed, o).orderBy("rank").toLocalIterator()]
-    cap = None if o.full else o.max_chars
-    trimmed = 0 if cap is None else max(0, n - max(o.full_top, 0))
     if o.format == "json":
-        payload = {
+        head = {
             "note": G.preamble(n), "count": n, "stats": known.stats | {"spec_versions": known.specs, "top_tags": known.tags, "top_bloat_cards": known.bloat}, "field_coverage": known.coverage,
-            "cards": [json.loads(b) for b in blocks],
-            "response_template": {"fields": list(G.LABELS), "house_style": G.convention_lines(known), "description_format": G.description_skeleton(known), "mes_example_format": G.example_dialogue(known), "not_demonstrated_by_this_corpus": G.coverage_notes(known)},
         }
-        count = T.count_tokens(json.dumps(payload, indent=2, ensure_ascii=False), o.tokenizer)
-        return json.dumps(payload | {"tokens": count.count, "token_method": count.method}, indent=2, ensure_ascii=False) + "\n"
+        template = {
+            "instruction": G.ANSWER_FORM, "fields": list(G.LABELS), "house_style": G.convention_lines(known), "description_format": G.description_skeleton(known),
+            "mes_example_format": G.example_dialogue(known), "not_demonstrated_by_this_corpus": G.coverage_notes(known),
+        }
+        return json.dumps(head, ensure_ascii=False), json.dumps({"response_template": template}, ensure_ascii=False)
+    cap = None if o.full else o.max_chars
+    trimmed = 0 if cap is None else max(0, n - max(o.full_top, 0))
     compact = o.format == "compact"
     note = [f"The first {n - trimmed} cards are complete; the other {trimmed} are trimmed to ~{cap:,} characters a field. Statistics cover all {n}."] if trimmed else []
     text = G.template(known, compact)
     stats = G.stats_block(known, compact)
     if compact:
-        lines = [G.preamble(n), *note, f"Stats: {stats}", "", *([text, f"({G.REPEAT_NOTE})", ""] if n else [])]
-    else:
-        filled = ", ".join(f"{f} {known.coverage.get(f, 0)}/{n}" for f in ("description", "personality", "scenario", "first_mes", "mes_example", "tags"))
-        lines = [f"# Character Reference Corpus ({n} cards)", "", G.preamble(n), "", *(x for y in note for x in (y, "")), "## Corpus Stats", stats]
-        lines += [f"- Field coverage: {filled}"] * bool(n) + [""]
-        lines += ["---", "", text, f"*{G.REPEAT_NOTE}*", "", "---", ""] if n else []
-    body = "\n".join([*lines, *blocks]).rstrip() + "\n"
-    end = f"\n\n{text}\n" if compact else f"\n\n---\n\n{text}"
+        return "\n".join([G.preamble(n), *note, f"Stats: {stats}", "", *([text, f"({G.REPEAT_NOTE})", ""] if n else [])]), f"\n\n{text}\n"
+    filled = ", ".join(f"{f} {known.coverage.get(f, 0)}/{n}" for f in ("description", "personality", "scenario", "first_mes", "mes_example", "tags"))
+    lines = [f"# Character Reference Corpus ({n} cards)", "", G.preamble(n), "", *(x for y in note for x in (y, "")), "## Corpus Stats", stats]
+    lines += [f"- Field coverage: {filled}"] * bool(n) + [""]
+    lines += ["---", "", text, f"*{G.REPEAT_NOTE}*", "", "---", ""] if n else []
+    return "\n".join(lines), f"\n\n---\n\n{text}"
+
+
+def _tokens_line(o: Options, count: T.TokenCount) -> str:
+    return ("\n# " if o.format == "compact" else "\n---\n") + f"{count.count:,} tokens ({count.method})"
+
+
+def exported(cards: DataFrame, o: Options = Options()) -> Exported:
+    """The whole document as text. Blocks are made in parallel and read in order."""
+    if o.format not in FORMATS:
+        raise ValueError(f"unknown format {o.format!r}")
+    placed = ordered(cards, o)
+    known = corpus(placed, "tags" in K.extra_fields(o.fields))
+    blocks = [r["block"] for r in _blocks(placed, o).orderBy("rank").toLocalIterator()]
+    head, end = _frame(known, o)
+    if o.format == "json":
+        payload = json.loads(head) | {"cards": [json.loads(b) for b in blocks]} | json.loads(end)
+        count = T.count_tokens(json.dumps(payload, indent=2, ensure_ascii=False), o.tokenizer)
+        text = json.dumps(payload | {"tokens": count.count, "token_method": count.method}, indent=2, ensure_ascii=False) + "\n"
+        return Exported(text, count, known, placed)
+    body = "\n".join([head, *blocks]).rstrip() + "\n"
     count = T.count_tokens(body + end, o.tokenizer)
-    return body + ("\n# " if compact else "\n---\n") + f"{count.count:,} tokens ({count.method})" + end
+    text = body + _tokens_line(o, count) + end
+    return Exported(text, T.count_tokens(text, o.tokenizer), known, placed)
 
 
-def estimate(cards: DataFrame, o: Options = Options()) -> dict:
-    """Tokens of the export and of each card's block, with warnings and how far cards agree."""
-    text = export(cards, o)
-    total = T.count_tokens(text, o.tokenizer)
+def export(cards: DataFrame, o: Options = Options()) -> str:
+    return exported(cards, o).text
+
+
+def export_to(cards: DataFrame, folder: str, o: Options = Options()) -> None:
+    """The document as part files below `folder`, which may be on any file system Spark writes to: joined in the order of their
+    names they are the document. No block comes to the driver. Tokens are the sum over the parts that stand in a row of their own.
+    """
+    if o.format not in FORMATS:
+        raise ValueError(f"unknown format {o.format!r}")
+    spark = cards.sparkSession
     placed = ordered(cards, o)
-    per_card = _blocks(placed, o).select("ord", "rank", T.tokens_of(F.col("block"), o.tokenizer).alias("tokens")).join(placed.select("ord", X.title(F.col("name"), F.col("nickname")).alias("name")), "ord")
-    found = _first(R.structure_consistency(placed))
-    share = found["structured"] / found["cards"] if found["cards"] else 0.0
+    known = corpus(placed, "tags" in K.extra_fields(o.fields))
+    n = known.summary["total_cards"]
+    head, end = _frame(known, o)
+    blocks = _blocks(placed, o).select("rank", "block")
+    total = T.count_tokens(head, o.tokenizer).count + T.count_tokens(end, o.tokenizer).count + (cut(blocks.select(T.tokens_of(F.col("block"), o.tokenizer).alias("tokens"))).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    method = T.count_tokens(head, o.tokenizer).method
+    if o.format == "json":
+        blocks = blocks.withColumn("block", F.concat("block", F.when(F.col("rank") < n, F.lit(",")).otherwise(F.lit(""))))
+        head = head[:-1] + ', "cards": ['
+        end = "], " + end[1:-1] + ", " + json.dumps({"tokens": total, "token_method": method})[1:]
+    else:
+        end = _tokens_line(o, T.TokenCount(total, method, False)).lstrip("\n") + end
+    ends = spark.createDataFrame([(0, head), (n + 1, end)], "rank long, block string")
+    blocks.unionByName(ends).repartitionByRange("rank").sortWithinPartitions("rank").select("block").write.mode("error").text(folder)
+
+
+def estimate(cards: DataFrame, o: Options = Options()) -> dict:
+    """Tokens of the export and of each card's block, with warnings and how far cards agree. Cards are ranked once."""
+    made = exported(cards, o)
+    names = made.placed.select("ord", X.title(F.col("name"), F.col("nickname")).alias("name"))
+    per_card = _blocks(made.placed, o).select("ord", "rank", T.tokens_of(F.col("block"), o.tokenizer).alias("tokens")).join(names, "ord")
+    found = made.corpus.consistency
     return {
-        "total_tokens": total.count,
-        "method": total.method,
+        "total_tokens": made.tokens.count,
+        "method": made.tokens.method,
         "cards": per_card.orderBy("rank").select(F.col("rank").alias("index"), "name", "tokens"),
-        "context_warning": G.context_warning(total.count, placed.count(), ui=True),
-        "consistency": found | {"share": share},
+        "context_warning": G.context_warning(made.tokens.count, made.corpus.summary["total_cards"], ui=True),
+        "consistency": found | {"share": found["structured"] / found["cards"] if found["cards"] else 0.0},
         "consistency_note": G.consistency_note(found),
     }

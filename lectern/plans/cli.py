@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import render as K
-from ..operators import select as R
-from ..operators import tokens as T
 from . import api
 from . import guidance as G
 from .session import cut, ship
@@ -53,7 +51,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if bad:
         print(f"Ignored unrecognized --cap value(s): {', '.join(bad)}", file=sys.stderr)
     o = api.Options(a.format, a.full, a.max_chars, a.full_top, a.fields, a.cap, a.tokenizer, a.sort, a.best)
-    text = api.export(cards, o)
+    made = api.exported(cards, o)
+    text, count = made.text, made.tokens
     with open(a.output, "w", encoding="utf-8") as f:
         f.write(text)
     n, failed = cards.count(), failures.count()
@@ -64,10 +63,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"Kept the {kept} most instructive for the export (--best).")
     if failed:
         print(f"Skipped {failed} file(s) with no usable card data.")
-    count = T.count_tokens(text, a.tokenizer)
     print(f"Wrote {a.format} export to {a.output}\n{count.count:,} tokens ({count.method})")
-    consistency = R.structure_consistency(api.ordered(cards, o)).first().asDict()
-    for line in [*G.consistency_note(consistency), *G.context_warning(count.count, kept)]:
+    for line in [*G.consistency_note(made.corpus.consistency), *G.context_warning(count.count, kept)]:
         print(line)
     if not a.full and a.full_top <= 0:
         r = A.truncation_ratio(cards, a.max_chars).first()

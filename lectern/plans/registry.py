@@ -55,12 +55,11 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Scored cards with their rank and the number of cards: ranks are made on narrow rows and joined back."""
+    """Cards with their rank and the number of cards. Only ids and scores are ranked; whole texts meet their ranks in one join."""
     from .session import cut
 
-    scored = cut(_scored(spark, d))
-    ranks = R.rank_cards(scored).select("ord", "rank")
-    return scored.join(ranks, "ord").withColumn("total", F.lit(scored.count()))
+    ranks = cut(R.rank_cards(_scored(spark, d)).select("ord", "rank"))
+    return adapter.cards(spark, d).join(ranks, "ord").withColumn("total", F.lit(ranks.count()))
 
 
 # --- cleaning ---------------------------------------------------------------------------------------------------
@@ -196,7 +195,7 @@ _add(
 
 
 def _pins(spark: SparkSession, d: str) -> DataFrame:
-    ranked = R.rank_cards(_scored(spark, d)).join(adapter.cards(spark, d).select("ord", "source_file"), "ord")
+    ranked = R.rank_cards(_scored(spark, d), "source_file")
     pinned = adapter.base(spark, d).where("ord % 97 = 5").select("source_file")
     return R.apply_pins(ranked.select("ord", "source_file", "rank"), pinned).select("ord", "pinned", "place")
 
@@ -208,11 +207,11 @@ _add(
     O.with_scores("""select count(*)::bigint as cards, sum(flag)::bigint as structured, coalesce(max(case when 10 * cum >= 8 * n then n end), 0)::bigint as agreeing_prefix, count(*) >= 20 as stable
       from (select flag, sum(flag) over w as cum, row_number() over w as n from (select rank, case when sections then 1 else 0 end as flag from ranked where has_description) window w as (order by rank rows unbounded preceding))"""),
 )
-_add("depth_tier", lambda s, d: _ranked(s, d).select("ord", "rank", F.coalesce(R.tier_cap(c("rank"), P.MAX_CHARS), F.lit(-1)).cast("long").alias("cap")), O.with_scores("select ord, rank, (case when rank > 10 then 600 else -1 end)::bigint as cap from ranked"))
+_add("depth_tier", lambda s, d: R.rank_cards(_scored(s, d)).select("ord", "rank", F.coalesce(R.tier_cap(c("rank"), P.MAX_CHARS), F.lit(-1)).cast("long").alias("cap")), O.with_scores("select ord, rank, (case when rank > 10 then 600 else -1 end)::bigint as cap from ranked"))
 _CAPS = {"first_mes": 1200, "description": 300, "scenario": None}
 _add(
     "field_caps",
-    lambda s, d: _ranked(s, d).select("ord", *(F.coalesce(R.field_cap(R.tier_cap(c("rank"), P.MAX_CHARS), n), F.lit(-1)).cast("long").alias(f) for f, n in _CAPS.items())),
+    lambda s, d: R.rank_cards(_scored(s, d)).select("ord", *(F.coalesce(R.field_cap(R.tier_cap(c("rank"), P.MAX_CHARS), n), F.lit(-1)).cast("long").alias(f) for f, n in _CAPS.items())),
     O.with_scores("select ord, least(case when rank > 10 then 600 end, 1200)::bigint as first_mes, least(case when rank > 10 then 600 end, 300)::bigint as description, (case when rank > 10 then 600 else -1 end)::bigint as scenario from ranked"),
 )
 

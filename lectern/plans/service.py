@@ -1,15 +1,18 @@
 """The façade over HTTP, for this machine: extract, export and estimate, JSON in and out.
 
-`answer` is a function of path, query and body; the server below only carries it. Requests share one Spark session.
+`answer` is a function of path, query and body; the server below only carries it. Requests share one Spark session. GET serves
+the files of one folder, `pages`, and nothing outside it.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import mimetypes
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qs, urlsplit
+from pathlib import Path
+from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,7 @@ from .session import ship
 #: File endings of the formats, and the port.
 ENDINGS = {"md": "md", "compact": "txt", "json": "json"}
 PORT = 8765
+PAGES = Path(__file__).parent / "pages"
 
 Reply = tuple[int, dict]
 
@@ -71,17 +75,31 @@ def answer(spark: SparkSession, path: str, body: bytes) -> Reply:
         return 400, {"error": str(e)}
 
 
-def server(spark: SparkSession, host: str = "127.0.0.1", port: int = PORT) -> ThreadingHTTPServer:
+def page(folder: Path, path: str) -> tuple[bytes, str] | None:
+    """Content and type of a file below `folder`, or None: for what is not there, is no file, or lies outside."""
+    asked = (folder / (unquote(urlsplit(path).path).lstrip("/") or "index.html")).resolve()
+    if not asked.is_relative_to(folder.resolve()) or not asked.is_file():
+        return None
+    return asked.read_bytes(), mimetypes.guess_type(asked.name)[0] or "application/octet-stream"
+
+
+def server(spark: SparkSession, host: str = "127.0.0.1", port: int = PORT, pages: Path = PAGES) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
-        def do_POST(self) -> None:  # noqa: N802
-            status, payload = answer(spark, self.path, self.rfile.read(int(self.headers.get("Content-Length") or 0)))
-            raw = json.dumps(payload).encode()
+        def reply(self, status: int, raw: bytes, kind: str) -> None:
             self.send_response(status)
-            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)
 
+        def do_GET(self) -> None:  # noqa: N802
+            found = page(Path(pages), self.path)
+            self.reply(404, b"not found", "text/plain") if found is None else self.reply(200, *found)
+
+        def do_POST(self) -> None:  # noqa: N802
+            status, payload = answer(spark, self.path, self.rfile.read(int(self.headers.get("Content-Length") or 0)))
+            self.reply(status, json.dumps(payload).encode(), "application/json; charset=utf-8")
+
         def log_message(self, *args: object) -> None:
             pass
 

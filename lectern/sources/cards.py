@@ -150,9 +150,8 @@ def parse(chunked: DataFrame) -> DataFrame:
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cards, and failures (path, reason), of rows with ord, path and content."""
-    chunked = png.with_chunks(files).join(files.select("ord", "path"), "path")
-    parsed = parse(chunked)
+    """Cards, and failures (path, reason), of rows with ord, path and content, or with chunks and error in place of content."""
+    parsed = parse(png.with_chunks(files) if "content" in files.columns else files)
     cards = parsed.where("card is not null").select("ord", "card.*", F.col("path").alias("source_file"))
     cards = cards.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in CARD.fields))
     return cards, parsed.where("card is null").select("path", F.col("error").alias("reason"))

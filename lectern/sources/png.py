@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import warnings
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,45 +68,59 @@ def text_chunks(data: bytes) -> list[tuple[int, str, str, str]]:
 
 
 def with_chunks(files: DataFrame) -> DataFrame:
-    """path, chunks (null for a failure), error, of rows with path and content."""
+    """`files` with chunks (null for a failure) and error in place of content. Other columns pass through as they are."""
+    kept = [c for c in files.columns if c != "content"]
+    types = dict(files.dtypes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chunks, errors = [], []
-            for x in b.column(1):
+            for x in b.column(len(kept)):
                 try:
                     chunks.append([dict(zip(("ordinal", "keyword", "text", "chunk_type"), c, strict=True)) for c in text_chunks(x.as_py() or b"")])
                     errors.append(None)
                 except Exception as e:  # a bad file is a row of failures, not the end of the batch
                     chunks.append(None)
                     errors.append(str(e) if str(e) == NOT_A_PNG else f"unexpected error: {e}")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chunks, pa.list_(_CHUNK)), pa.array(errors, pa.string())], names=["path", "chunks", "error"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(chunks, pa.list_(_CHUNK)), pa.array(errors, pa.string())], names=[*kept, "chunks", "error"])
 
-    return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run, f"path string, chunks {CHUNKS}, error string")
+    quoted = ", ".join(f"`{c}` {types[c]}" for c in kept)
+    return files.select(*(F.col(f"`{c}`") for c in kept), F.col("content").cast("binary").alias("content")).mapInArrow(run, f"{quoted}, chunks {CHUNKS}, error string")
 
 
-def scan(spark: SparkSession, inputs: list[str], recursive: bool = True) -> DataFrame:
-    """ord, path, content of PNG files: folders give their *.png files, sorted by path parts; files themselves, whatever their
-    name. Paths that are not there are skipped; a file given twice counts once, where it came first."""
-    reader = spark.read.format("binaryFile")
+def scan(spark: SparkSession, inputs: list[str], recursive: bool = True, any_case: bool = False) -> DataFrame:
+    """ord, path, chunks, error of PNG files: folders give their *.png files (*.PNG too with any_case), sorted by path parts;
+    files themselves, whatever their name. Paths that are not there are skipped with a warning; a file given twice counts once,
+    where it came first.
+
+    Paths are listed and numbered without their content; bytes are walked in the task that reads them, and only the chunks
+    found are joined to the numbers.
+    """
     sc = spark.sparkContext
     paths = sc._jvm.org.apache.hadoop.fs
     conf = sc._jsc.hadoopConfiguration()
-    found = None
+    found = []
     for number, name in enumerate(inputs):
-        p = paths.Path(name)
+        p = paths.Path(_resolved(name))
         fs = p.getFileSystem(conf)
         if not fs.exists(p):
+            warnings.warn(f"no such path, left out: {name}", stacklevel=2)
             continue
+        reader = spark.read.format("binaryFile")
         if fs.getFileStatus(p).isDirectory():
-            one = reader.option("pathGlobFilter", "*.png").option("recursiveFileLookup", str(bool(recursive)).lower()).load(name)
-        else:
-            one = spark.read.format("binaryFile").load(name)
-        one = one.select(F.lit(number).alias("input"), "path", "content")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "ord long, path string, content binary")
-    return ordered_paths(found)
+            reader = reader.option("pathGlobFilter", "*.[pP][nN][gG]" if any_case else "*.png").option("recursiveFileLookup", str(bool(recursive)).lower())
+        found.append(reader.load(p.toString()).select(F.lit(number).alias("input"), "path", "content"))
+    if not found:
+        return spark.createDataFrame([], f"ord long, path string, chunks {CHUNKS}, error string")
+    files = reduce(DataFrame.unionByName, found)
+    numbers = ordered_paths(files.select("input", "path"), keep_input=True)
+    return with_chunks(files).join(numbers, ["input", "path"]).select("ord", "path", "chunks", "error")
+
+
+def _resolved(name: str) -> str:
+    """A local path without links and dots, so that two ways to a file are one; other file systems' paths as they are."""
+    scheme, _, rest = name.rpartition("://")
+    return name if scheme and scheme != "file" else f"file://{os.path.realpath(rest)}" if scheme else os.path.realpath(name) if os.path.exists(name) else name
 
 
 def first_of_each(rows: DataFrame) -> DataFrame:
@@ -112,9 +129,9 @@ def first_of_each(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["path", "input"]).dropDuplicates(["path", "input"])
 
 
-def ordered_paths(rows: DataFrame) -> DataFrame:
+def ordered_paths(rows: DataFrame, keep_input: bool = False) -> DataFrame:
     """`first_of_each` with ord, by input and then by path parts."""
     from ..operators.select import numbered
 
     once = first_of_each(rows).withColumn("parts", F.split("path", "/"))
-    return numbered(once, [F.asc("input"), F.asc("parts")], "ord").select("ord", *(c for c in once.columns if c not in ("parts", "input")))
+    return numbered(once, [F.asc("input"), F.asc("parts")], "ord").select("ord", *(c for c in once.columns if c != "parts" and (keep_input or c != "input")))

@@ -237,3 +237,65 @@ def test_python_agrees_on_odd_strings(spark):
         assert got == [bool(re.search(plain(pattern), t)) for t in texts], name
     got = [list(r[0]) for r in df.select(D.header_names(F.col("t"))).collect()]
     assert got == [[m[1] for m in re.findall(plain(P.SECTION_HEADER), t)] for t in texts]
+
+
+def test_two_uploads_of_one_name(spark):
+    cards, failures = S.extract_bytes(spark, [("a.png", image(text_chunk("chara", {"name": "A"}))), ("a.png", image(text_chunk("chara", {"name": "B"}))), ("a.png", b"x")])
+    assert sorted((r["ord"], r["name"]) for r in cards.collect()) == [(0, "A"), (1, "B")] and failures.count() == 1
+
+
+def test_scan_lists_before_it_reads(spark, tmp_path):
+    """Missing inputs warn, two ways to a file are one, and no exchange moves a file's bytes."""
+    (tmp_path / "d").mkdir()
+    for name in ("b.png", "a.png", "C.PNG"):
+        (tmp_path / "d" / name).write_bytes(image(text_chunk("chara", {"name": name})))
+    (tmp_path / "link").symlink_to(tmp_path / "d")
+    inputs = [str(tmp_path / "d" / "b.png"), str(tmp_path / "nowhere"), str(tmp_path / "link"), f"{tmp_path}/d/../d"]
+    with pytest.warns(UserWarning, match="nowhere"):
+        found = png.scan(spark, inputs)
+    assert [(r["ord"], r["path"].rsplit("/", 1)[1]) for r in found.orderBy("ord").collect()] == [(1, "b.png"), (2, "a.png")]
+    assert png.scan(spark, [str(tmp_path / "d")], any_case=True).count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = [line for line in plan.splitlines() if "Exchange" in line]
+    assert below and "content" not in "".join(below)
+    cards, failures = api.extract(spark, [str(tmp_path / "d")])
+    assert [r["name"] for r in cards.orderBy("ord").collect()] == ["a.png", "b.png"] and failures.count() == 0
+    assert png.scan(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("form", api.FORMATS)
+def test_export_to_parts(spark, tmp_path, form):
+    """Part files joined by name are the document, but for the token count, which is a sum over parts."""
+    rows = [card(i, name=f"N{i:02d}", description="d" * 900, source_file=f"a/{i}.png", spec_version="2.0") for i in range(30)]
+    o = api.Options(form)
+    api.export_to(frame(spark, rows), str(tmp_path / form), o)
+    parts = sorted((tmp_path / form).glob("part-*"))
+    text, want = "".join(p.read_text() for p in parts), api.export(frame(spark, rows), o)
+    if form == "json":
+        got, whole = json.loads(text), json.loads(want)
+        assert list(got) == list(whole) and {k: v for k, v in got.items() if k != "tokens"} == {k: v for k, v in whole.items() if k != "tokens"}
+        assert got["response_template"]["instruction"]
+    else:
+        squeeze = lambda t: [x for x in re.sub(r"[\d,]+ tokens", "n tokens", t).splitlines() if x.strip("-# ")]
+        assert squeeze(text) == squeeze(want)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from lectern.plans import session
+
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        session.shared_dir(Session())
+    monkeypatch.setattr(Context, "getCheckpointDir", lambda self: "hdfs://x/y")
+    assert session.shared_dir(Session()) == "hdfs://x/y"

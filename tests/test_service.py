@@ -48,3 +48,13 @@ def test_export_and_estimate(post):
     assert status == 200 and [c["index"] for c in got["cards"]] == [1, 2, 3, 4] and got["total_tokens"] > sum(c["tokens"] for c in got["cards"])
     assert post("/api/export", {"format": "pdf"}) == (400, {"error": "unknown format 'pdf'"})
     assert post("/api/estimate", b"{")[0] == 400 and post("/api/other", b"")[0] == 404
+
+
+def test_pages(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "index.html").write_text("<p>")
+    (tmp_path / "secret").write_text("no")
+    assert service.page(tmp_path / "in", "/") == (b"<p>", "text/html") and service.page(tmp_path / "in", "/index.html?x=1")[0] == b"<p>"
+    for path in ("/../secret", "/%2e%2e/secret", "/missing", "//" + str(tmp_path / "secret"), "/."):
+        assert service.page(tmp_path / "in", path) is None
+    assert b"/api/export" in service.page(service.PAGES, "/")[0]
