@@ -682,8 +682,40 @@ def test_warc(spark, tmp_path):
     for name in files:
         assert (tmp_path / "w" / name).read_bytes() == (tmp_path / "v" / name).read_bytes()
         raw = gzip.decompress((tmp_path / "w" / name).read_bytes())
-        assert raw.startswith(b"WARC/1.1\r\n")
+        assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
     assert json.loads((tmp_path / "w" / "_COMMITTED").read_text())["shards"] > 1
+    records = [warc.parse_record(x) for name in files for x in warc._members((tmp_path / "w" / name).read_bytes())]
+    responses = {r["warc-record-id"]: r["warc-payload-digest"] for r in records if r["warc-type"] == "response"}
+    assert len({r["warc-record-id"] for r in records}) == len(records)
+    for r in records:
+        if r["warc-type"] == "revisit":
+            assert responses[r["warc-refers-to"]] == r["warc-payload-digest"] and r["warc-profile"].endswith("identical-payload-digest") and r["warc-refers-to-date"] == r["warc-date"]
+
+
+def test_warc_shards_of_skewed_ids(spark, tmp_path):
+    """Ids that lie close but for one, and null ids, spread over shards of about equal bytes."""
+    rows = [(10**15 if i == 400 else i if i < 400 else None, f"http://h/{i}", words(i, 60)) for i in range(600)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "s"), shard_bytes=80_000)
+    sizes = {}
+    for r in manifest.collect():
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["records"]
+    assert len(sizes) >= 8 and max(sizes.values()) < 2 * len(rows) / len(sizes) and sum(sizes.values()) == len(rows)
+    assert warc.read_archives(spark, str(tmp_path / "s")).count() == len(rows)
+
+
+def test_warc_revisit_without_response(spark, tmp_path):
+    root = tmp_path / "r"
+    warc.write_archives(spark.createDataFrame([(1, "u", "z" * 200), (2, "u", "z" * 200)], PAGES), str(root))
+    (name,) = (p.name for p in root.glob("*.warc.gz"))
+    kept = [warc._member(x) for x in warc._members((root / name).read_bytes()) if b"WARC-Type: response" not in x]
+    (root / name).write_bytes(b"".join(kept))
+    (root / f".{name}.crc").unlink(missing_ok=True)
+    for p in (root / "manifest").iterdir():
+        if p.name.startswith("part"):
+            p.write_text(p.read_text().replace('"records":2', '"records":1'))
+            (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="not there"):
+        warc.read_archives(spark, str(root)).collect()
 
 
 def test_warc_rejects_damage(tmp_path, spark):
