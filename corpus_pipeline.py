@@ -72,7 +72,7 @@ def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts stay as they are; ids play no part; no documents give none; columns beyond those of `documents` are kept.
     """
-    done = pii.pseudonymise(docs, counts=False)
+    done = pii.pseudonymise(docs, key=pii.EXAMPLE_KEY, counts=False)
     return _plain(done.withColumn("n_chars", F.length("text").cast("long")), docs.columns)
 
 
