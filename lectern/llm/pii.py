@@ -3,7 +3,7 @@
 Candidates are found by one pattern, validated (Luhn sum, octet, calendar and number ranges), and replaced by a keyed
 permutation of their own format: an alternating Feistel network over Z_p x Z_q whose round function is SHA-256 of key,
 kind, length, round and the other half. As it permutes the format's whole domain, equal values get equal pseudonyms in
-every document, different values get different ones, and whoever has the key can undo it.
+every document, different values get different ones, and whoever has the key can undo it (of the kinds in this table).
 
 | kind | valid if | domain that is permuted |
 |-|-|-|
@@ -15,7 +15,7 @@ every document, different values get different ones, and whoever has the key can
 | date | a day from 1000 to 2099, Y-M-D or D-M-Y (else M-D-Y) | the days of its century |
 
 E-mail names and secrets of 32 to 64 hex digits have no number to permute; they get a keyed digest in their own format, with
-an e-mail's domain kept. Invalid candidates stay as they are.
+an e-mail's domain kept. Digests cannot be undone, and those of two e-mail names (48 bits) may by chance be equal. Invalid candidates stay as they are.
 
 Cases: a null text stays null with counts of 0, an empty one empty; the same value written with other separators gets the
 same digits; repeated doc_ids are separate rows; an empty table gives an empty result; other columns are kept by
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._shared import column, table
 
 KINDS = ("email", "ip", "date", "ssn", "phone", "card", "iban", "secret")
-#: A key for tests and examples; a caller with private data passes its own.
+#: A key for tests and the registered queries; a caller with private data passes its own.
 EXAMPLE_KEY = "lectern-example-key"
 ROUNDS = 10
 
@@ -141,8 +141,10 @@ def _kind() -> str:
     )
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = EXAMPLE_KEY, counts: bool = True) -> DataFrame:
-    """`docs` with its text pseudonymised and, if `counts`, n_<kind> for each of KINDS (long)."""
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """`docs` with its text pseudonymised and, if `counts`, n_<kind> for each of KINDS (long). Whoever has the key can undo it."""
+    if not key:
+        raise ValueError("a key is needed")
     text = column(docs, text_col)
     found = "case k " + " ".join(f"when '{x}' then {_replacement(x, key)}" for x in KINDS) + " end"
     match = _with("k", _kind(), _with("d", "regexp_replace(m, '[^0-9]', '')", f"named_struct('m', m, 'k', k, 'r', {found})"))
@@ -162,4 +164,4 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = EXAMPLE_
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=EXAMPLE_KEY)
