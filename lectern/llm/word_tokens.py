@@ -1,12 +1,14 @@
 """Token ids of texts by the tokenizers library, with each distinct piece of text encoded once.
 
 A tokenizer that splits its input before it merges gives a piece the same ids wherever it stands, so ids are made by the
-library for pieces not met before and then kept. Texts with characters outside `SIMPLE`, whose normalisation or
-classes could differ between Python and the library, go to the library whole.
+library for pieces not met before and then kept. This holds for files with the rules of `RULES`; any other file's texts go to the
+library whole. So do texts with characters outside `SIMPLE`, whose normalisation or
+classes could differ between Python and the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -19,6 +21,15 @@ os.environ.setdefault("RAYON_NUM_THREADS", "2")
 #: Letters whose lower case, composition and class are the same everywhere: ASCII and Latin with diacritics.
 LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ž"
 SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}¡«»¿–—‘’“”…€]*")
+#: Normaliser and splitting rule of the files that pieces are told apart for.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
 #: The vocabulary's own splitting rule, for SIMPLE texts in lower case.
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r0-9{LETTERS}]+").findall
 #: Units kept by a worker, at most about 60 MB; places of the marks that tell whether a unit was met before.
@@ -107,10 +118,13 @@ _CLASS[48:58] = 3
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes, for a vocabulary file whose rule is `_SPLIT` after lower-casing."""
+    """Ids as little-endian unsigned 32-bit bytes; `split` tells whether the file's rules allow piece by piece."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        # Special tokens are looked for by their common start.
+        self.split = all(rules[k] == v for k, v in RULES.items()) and all(x["content"].startswith("<|") for x in rules["added_tokens"])
         self.cache = UnitCache(self._encode)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -144,6 +158,9 @@ class WordEncoder:
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
+        if not self.split:
+            yield from in_blocks(texts, lambda x: True, self._ids, lambda x: self._ids([x])[0])
+            return
         yield from in_blocks(texts, lambda x: "<|" not in x and PLAIN.fullmatch(x), self._plain, self._other)
 
 
