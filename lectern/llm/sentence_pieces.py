@@ -219,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
         for b in batches:
             texts = [x.as_py() or "" for x in b.column(1)]
             out: tuple[list, ...] = ([], [], [], [])
-            ids: list[np.ndarray] = []
+            raws: list[bytes] = []
             for text, raw in zip(texts, enc.encode_all(texts), strict=True):
                 theirs = other.encode(text)
                 parity = array("I", theirs).tobytes() == raw
@@ -227,11 +227,12 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 for col, v in zip(out, (len(got), zlib.crc32(raw), parity, enc.decode(got) == text), strict=True):
                     col.append(v)
                 if with_ids:
-                    ids.append(np.array(got, np.int32))
+                    raws.append(raw)
             cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.bool_())]
             names = ["doc_id", "n_ids", "ids_crc32", "parity", "round_trip"]
             if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
+                offsets = np.cumsum([0, *out[0]], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -256,4 +257,4 @@ def decode_documents(encoded: DataFrame, path: str, *, id_col: str = "doc_id", i
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
