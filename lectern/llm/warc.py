@@ -41,6 +41,8 @@ ROLL_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20
 #: Shards at most (their bounds go to every task: 8 bytes each); ids that bounds are taken from, in each shard and in all.
 MAX_SHARDS, SAMPLE_A_SHARD, SAMPLE = 100_000, 200, 200_000
+#: Compressed bytes that a reader is fed at once.
+FEED = 8 << 10
 #: Tasks in which a response's revisits are looked up.
 SALTS = 16
 #: Records carry no clock of their own; a fixed date keeps files equal from run to run.
@@ -109,16 +111,18 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def _members(raw: bytes) -> Iterator[bytes]:
-    rest = raw
-    at = 0
-    view = memoryview(rest)
+    """The gzip members of a file, fed in small steps: what a member leaves of a step is copied."""
+    view, at = memoryview(raw), 0
     while at < len(raw):
         d = zlib.decompressobj(31)
-        out = d.decompress(view[at:])
+        out = []
+        while not d.eof and at < len(raw):
+            fed = view[at : at + FEED]
+            out.append(d.decompress(fed))
+            at += len(fed) - len(d.unused_data)
         if not d.eof:
             raise ValueError("an archive ends within a record")
-        at = len(raw) - len(d.unused_data)
-        yield out
+        yield b"".join(out)
 
 
 def parse_record(raw: bytes) -> dict:
