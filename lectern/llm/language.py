@@ -4,9 +4,9 @@ Each language's raw-content zstandard dictionary is cut from a bounded sample of
 compressed in blocks with every dictionary (all blocks, so whole texts count), and the smallest total wins. Where the runner-up is
 closer than `MARGIN` the verdict is marked as rejected; the nearest language is still named.
 
-The sample is the rows whose hash of doc_id is below a language's share, about `SAMPLE_ROWS` for each of the `MAX_LANGUAGES` most
-frequent languages, each giving at most `EXCERPT` bytes, up to `DICTIONARY` bytes: the only bounded part, as a fit on labelled
-rows may be.
+The sample is the rows whose hash is below a language's share, about `SAMPLE_ROWS` for each language, each giving at most `EXCERPT`
+bytes, up to `DICTIONARY` bytes; where languages are so many that these would exceed `DICTIONARIES` bytes in all, each gets an
+equal share of those. It is the only bounded part, as a fit on labelled rows may be; every language is learned.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows without a language or with a held-out hash are not
 learned from; equal sizes go to the first language by name; if nothing can be learned every row is `und`; repeated doc_ids
@@ -27,8 +27,8 @@ from ._shared import column, released, table
 UNDETERMINED = "und"
 #: Bounds of what is learned from, for each language.
 SAMPLE_ROWS, EXCERPT, DICTIONARY = 400, 1024, 96 << 10
-#: Languages that are learned at most; values that hashes are taken to.
-MAX_LANGUAGES, _SPACE = 500, 1 << 30
+#: Bytes of all dictionaries; values that hashes are taken to; languages whose shares are broadcast (some 40 bytes each).
+DICTIONARIES, _SPACE, BROADCAST_ROWS = 48 << 20, 1 << 30, 100_000
 #: Bytes of a block; smaller blocks lean more on the dictionary.
 BLOCK = 2048
 #: A lead over the runner-up, as a share of its size, below which a verdict is rejected.
@@ -46,19 +46,21 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """A dictionary's bytes for each language of the rows that are not held out."""
     doc_id, lang, text = column(docs, id_col), column(docs, lang_col), column(docs, text_col)
     known = docs.where(~held_out(doc_id) & lang.isNotNull() & (lang != UNDETERMINED) & text.isNotNull())
-    counts = known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()  # a row for each language
     if not counts:
         return {}
-    # A row is taken if its id's hash is below the language's share: no language's rows meet in one task.
+    size = min(DICTIONARY, DICTIONARIES // len(counts))
+    sample_rows = max(4, min(sample_rows, 4 * size // EXCERPT))
+    # A row is taken if its hash is below the language's share: no language's rows meet in one task.
     limits = docs.sparkSession.createDataFrame([(r["lang"], min(_SPACE, _SPACE * sample_rows // r["n"])) for r in counts], "lang string, below long")
-    place = F.pmod(F.xxhash64("id"), F.lit(_SPACE))
-    rows = known.select(doc_id.alias("id"), lang.alias("lang"), text.alias("text")).join(F.broadcast(limits), "lang").where(place < F.col("below"))
-    rows = rows.select("lang", place.alias("h"), "id", F.substring("text", 1, EXCERPT).alias("text")).limit(4 * sample_rows * len(counts)).collect()
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(_SPACE))
+    rows = known.select(doc_id.alias("id"), lang.alias("lang"), text.alias("text")).join(F.broadcast(limits) if len(counts) <= BROADCAST_ROWS else limits, "lang").where(place < F.col("below"))
+    rows = rows.select("lang", place.alias("h"), F.substring("text", 1, EXCERPT).alias("text")).distinct().collect()  # about sample_rows for each language; equal rows once
     found: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["id"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"].lower().encode("utf-8", "ignore")[:EXCERPT])
     # Equal excerpts once; zstandard finds what stands last at the shortest distance.
-    joined = {k: b"\n".join(dict.fromkeys(v))[:DICTIONARY] for k, v in found.items()}
+    joined = {k: b"\n".join(dict.fromkeys(v))[:size] for k, v in found.items()}
     return {k: joined[k] for k in sorted(joined) if len(joined[k]) >= 8}
 
 
@@ -91,7 +93,7 @@ class Identifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, rejected of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICTIONARY bytes for each language
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICTIONARIES bytes at most
     held: list[Identifier] = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
