@@ -38,6 +38,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of about so many narrow rows, in no more partitions than they need: each costs a task and a file when it is written."""
+    return df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), rows // 20_000 + 1)))
+
+
 def release() -> None:
     """Gives memory that nothing uses back to the machine. Workers outlive their tasks, and what they hold adds up."""
     pa.default_memory_pool().release_unused()

@@ -129,7 +129,7 @@ def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     places = spark.sparkContext.broadcast(_places(plan(histogram, size)))  # some thousand rows
     parts = max(1, -(-sum(histogram.values()) // RANK_ROWS))
     # A rank is a number within (length, part) plus the earlier parts' rows: no length gathers in one task.
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)).cast("int"))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     before = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "part", "before")
     ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))

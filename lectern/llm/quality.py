@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import column, cut, released, table
+from ._shared import column, cut, few, released, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -218,10 +218,10 @@ def fit(rows: DataFrame) -> DataFrame:
         return sums.groupBy("fit", "start").applyInArrow(_concentrate, schema)
 
     # The starts' own determinants are no subset's, so the first step counts whatever it gives.
-    best = active = cut(step(starts, n := starts.count()))
+    best = active = cut(few(step(starts, n := starts.count()), 100 * n))  # a fit's sums are some hundred rows
     while n:
         after = step(active, n).select("fit", "start", F.struct(*_PARAMS).alias("new"))
-        stepped = cut(best.select("fit", "start", F.struct(*_PARAMS).alias("best")).join(after, ["fit", "start"], "left"))
+        stepped = cut(few(best.select("fit", "start", F.struct(*_PARAMS).alias("best")).join(after, ["fit", "start"], "left"), 100 * n))
         fell = lambda by: F.coalesce(F.col("new.det") < F.col("best.det") - by, F.lit(False))
         best = stepped.select("fit", "start", F.when(fell(0), F.col("new")).otherwise(F.col("best")).alias("p")).select("fit", "start", "p.*").select(names)
         active = stepped.where(fell(SETTLED)).select("fit", "start", "new.*").select(names)

@@ -6,7 +6,8 @@ fullest shard of one with the emptiest of the other, until one partition is left
 
 The number of differenced items has a fixed bound whatever the input: with T = total / `max_items` bytes, a group of at
 least T bytes is an item of its own, and smaller groups are bundled by hash into items of about T bytes. There are at most
-about `max_items` of each kind, so one task can difference them all and the result may be broadcast.
+about `max_items` of each kind, so one task can difference them all and the result may be broadcast. Sums are exact, so bundling
+costs only what that many items cannot even out: under 1 % of a shard between shards with 300 items (see the tests), less with more.
 
 Cases: a null text has no bytes and is in one group with the empty ones; size is bytes plus 1, so rows without text still count;
 an empty table gives an empty result; repeated doc_ids are separate rows; other columns are ignored.
@@ -99,7 +100,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id"
     dealt = rows.withColumn("bundle", bundle).join(F.broadcast(large), "group", "left").join(F.broadcast(bundles), "bundle", "left").select("doc_id", "size", "text_crc32", F.coalesce("large_shard", "bundle_shard").alias("shard"))
     # Slots: a number within (shard, part), plus the rows of the shard's earlier parts. Parts hold about 10,000 rows.
     parts = max(1, -(-n_rows // (10_000 * shards)))
-    dealt = cut(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")))
+    dealt = cut(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(parts)).cast("int")))
     before = dealt.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "part", F.coalesce("before", F.lit(0)).alias("before"))
     numbered = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")))
     return numbered.join(before, ["shard", "part"]).select(

@@ -228,6 +228,28 @@ def test_shards(spark, max_items):
     assert by_id[3]["size"] == len(rows[3][1].encode()) + 1 and by_id[3]["text_crc32"] == zlib.crc32(rows[3][1].encode())
 
 
+def test_shards_of_many_small_groups_are_even(spark):
+    """Where groups are bundled, the bundles' sums still even out: 20,000 groups in 300 bundles, a group of a third of all rows."""
+    rows = spark.range(30_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'one text for a third of all rows', repeat(concat('w', id), 1 + id % 40)) as text")
+    got = sharding.balanced_shards(rows, max_items=300).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    largest = 10_000 * (len("one text for a third of all rows") + 1)
+    sums = sorted(r["n"] for r in got)
+    others = [x for x in sums if x < largest] if sums[-1] == largest else sums
+    assert len(sums) == 16 and max(others) - min(others) < 0.01 * sum(sums) / 16
+
+
+def test_languages_have_no_cap(spark, monkeypatch):
+    """With more languages than room every one is learned, from smaller dictionaries; repeated rows change nothing."""
+    monkeypatch.setattr(language, "DICTIONARIES", 40 * 2048)
+    rows = [(i, words(1000 + i % 40, 150, 120), f"l{i % 40:02d}", "s", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = language.learn(docs)
+    assert len(found) == 40 and all(len(x) <= 2048 for x in found.values())
+    assert language.learn(docs.unionByName(docs).repartition(7)).keys() == found.keys()
+    got = language.identify(docs, found).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred = lang").count() > 0.9 * len(rows)
+
+
 def test_shards_odd(odd, none):
     got = sharding.balanced_shards(odd).collect()
     check_shards(got, ODD)
