@@ -10,8 +10,11 @@ three steps.
 3. Components of candidates are compared exactly, by products of their shingles' incidence matrices in tiles. Only
    verified links count.
 
-Texts of equal shingle sets are one vertex. Tasks return spanning links, never pairs; keys met by more than `SPLIT_ROWS` rows and
-candidate components of more than `GROUP_BYTES` are dealt as pairs of parts, and tiles whose rows are all linked already are skipped.
+Texts of equal shingle sets are one vertex. Tasks return spanning links, never pairs, and skip tiles whose rows are all linked
+already. Rows of a key that more than `SPLIT_ROWS` rows have are candidates without step 2, by one grouped minimum. A candidate
+component of more than `GROUP_BYTES` is dealt to parts: each compares its rows with some `LEADERS` rows of the component, picked by
+hash; rows that these leave outside the largest group found are then compared with all rows of the component, part by part. So a
+large family of near copies costs in proportion to its size, and only what does not link to it costs more.
 
 Cases: words are those of `simhash`; a text with fewer words than a shingle has one shingle, the whole sequence; null and blank
 texts have none and equal each other; repeated ids are separate rows; an empty table gives an empty result; other columns are
@@ -20,7 +23,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import column, cut, released
+from ._shared import column, cut, released, row_key
 from .components import components, forest
 from .simhash import SEED, word_blocks
 
@@ -40,6 +43,8 @@ BANDS, DEPTH = 16, 5
 GROUP_ROWS, SPLIT_ROWS, TILE = 16384, 16384, 512
 #: Bytes of shingle hashes that a task compares; columns of an incidence matrix at a time.
 GROUP_BYTES, COLUMNS = 8 << 20, 8192
+#: Rows of a large component that all its rows are compared with first; tasks in which a hot key's rows are looked up.
+LEADERS, SALTS = 32, 16
 
 _rng = np.random.default_rng(SEED)
 #: Odd multipliers: of the orders that keys are taken from, and of the words of a fingerprint.
@@ -81,27 +86,24 @@ def sketch(h: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n (shingles), digest of the shingle set, fp, keys."""
+    """id, row (a key of id and text), n (shingles), digest of the shingle set, fp, keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, digests, fps, keys = [], [], [], []
-            for x in b.column(1):
+            for x in b.column(2):
                 h = shingle_set(x.as_py(), width)
                 fp, key = sketch(h)
                 for col, v in zip((n, digests, fps, keys), (len(h), xxhash.xxh3_128_digest(h.tobytes()), fp, key.tobytes()), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, fps, keys))], names=["id", "n", "digest", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, fps, keys))], names=["id", "row", "n", "digest", "fp", "keys"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).mapInArrow(released(run), f"id {kind}, n long, digest binary, fp binary, keys binary")
+    return _rows(docs, id_col, text_col).mapInArrow(released(run), f"id {kind}, row binary, n long, digest binary, fp binary, keys binary")
 
 
-def _spread(rows: DataFrame, key: str, vertex: str, hot: DataFrame) -> DataFrame:
-    """`rows` with p, q, part: rows of a hot key (columns key, parts) go to every pair of parts that theirs is in."""
-    part = F.pmod(F.xxhash64(vertex), F.col("parts")).cast("int")
-    dealt = rows.join(hot, key, "left").withColumn("part", F.coalesce(part, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    return dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other"), "hot": F.col("parts").isNotNull()}).drop("other", "parts")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(column(docs, id_col).alias("id"), row_key(docs, id_col, text_col).alias("row"), column(docs, text_col).alias("text"))
 
 
 class _Links:
@@ -132,12 +134,11 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _candidates(t: pa.Table) -> pa.Table:
     """Links among rows that share a key and lie within the radius."""
     names, row = np.unique(t["v"].to_numpy(), return_inverse=True)
-    key, part = t["key"].to_numpy(), t["part"].to_numpy()
+    key = t["key"].to_numpy()
     fps = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
     pops = np.bitwise_count(fps).sum(1, dtype=np.int16)
     order = np.lexsort((pops, key))
-    row, key, part, fps, pops = row[order], key[order], part[order], fps[order], pops[order]
-    whole = t["p"][0].as_py() == t["q"][0].as_py()
+    row, key, fps, pops = row[order], key[order], fps[order], pops[order]
     links = _Links(len(names))
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(starts, len(key)))
@@ -152,20 +153,16 @@ def _candidates(t: pa.Table) -> pa.Table:
                 if own.settled(i - s, j - s, a - s, b - s):
                     continue
                 near = _near(fps[i:a, None], fps[None, j:b])
-                if i == j:
-                    near = np.triu(near, 1)
-                if not whole:
-                    near &= part[i:a, None] != part[None, j:b]
-                x, y = np.nonzero(near)
+                x, y = np.nonzero(np.triu(near, 1) if i == j else near)
                 own.add(x + i - s, y + j - s)
         links.add(row[s : s + n], row[s + own.label])
     small = np.repeat(size <= 64, size)
-    row, key, part, fps = row[small], key[small], part[small], fps[small]
+    row, key, fps = row[small], key[small], fps[small]
     for d in range(1, 64):  # in small buckets: each row with the d-th after it
         at = np.flatnonzero(key[:-d] == key[d:])
         if not len(at):
             break
-        at = at[(row[at] != row[at + d]) & (whole | (part[at] != part[at + d]))]
+        at = at[row[at] != row[at + d]]
         at = at[_near(fps[at], fps[at + d])]
         links.add(row[at], row[at + d])
     return links.table(names)
@@ -187,20 +184,22 @@ def _shared_counts(term: np.ndarray, row: np.ndarray, left: int, right: int, n_l
     return out
 
 
-def exact_links(sets: list[np.ndarray], part: np.ndarray, whole: bool, similarity: float) -> np.ndarray:
-    """Labels of what links of `similarity` or more connect among the sets (between parts only, unless whole)."""
+def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of what links of `similarity` or more connect among the sets: those of one side with each other and, where two
+    sides are given, only those of one with those of the other."""
     n = len(sets)
     links = _Links(n)
     size = np.array([len(x) for x in sets], np.int64)
     if n == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        if (whole or part[0] != part[1]) and both >= similarity * (size.sum() - both) - 1e-9 and both:
+        if both and both >= similarity * (size.sum() - both) - 1e-9:
             links.add(np.array([0]), np.array([1]))
         return links.label
-    order = np.argsort(size, kind="stable")  # sizes apart by more than the similarity cannot link
-    size, part = size[order], part[order]
+    order = np.lexsort((size, side))
+    size, side = size[order], side[order]
+    two = bool(side[0] != side[-1])
     row = np.repeat(np.arange(n), size)
-    values = np.concatenate([sets[i] for i in order.tolist()]) if n else np.empty(0, np.uint64)
+    values = np.concatenate([sets[i] for i in order.tolist()])
     by = np.argsort(values, kind="stable")
     values, row = values[by], row[by]
     new = np.append(True, values[1:] != values[:-1])[: len(values)]
@@ -212,9 +211,10 @@ def exact_links(sets: list[np.ndarray], part: np.ndarray, whole: bool, similarit
         a = min(i + TILE, n)
         for j in range(i, n, TILE):
             b = min(j + TILE, n)
-            if size[a - 1] < similarity * size[j] - 1e-9:
-                break
-            if links.settled(i, j, a, b):
+            if two and side[i] == side[b - 1] or links.settled(i, j, a, b):
+                continue
+            # Sizes apart by more than the similarity cannot link.
+            if size[i:a].max() < similarity * size[j:b].min() - 1e-9 or size[j:b].max() < similarity * size[i:a].min() - 1e-9:
                 continue
             inside = ((row >= i) & (row < a)) | ((row >= j) & (row < b))
             t, r = term[inside], row[inside]
@@ -223,8 +223,8 @@ def exact_links(sets: list[np.ndarray], part: np.ndarray, whole: bool, similarit
             near = (both >= similarity * (size[i:a, None] + size[None, j:b] - both) - 1e-3) & (both > 0)
             if i == j:
                 near = np.triu(near, 1)
-            if not whole:
-                near &= part[i:a, None] != part[None, j:b]
+            if two:
+                near &= side[i:a, None] != side[None, j:b]
             x, y = np.nonzero(near)
             links.add(x + i, y + j)
     label = np.arange(n)
@@ -236,7 +236,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """id and group (a number; null for rows without words) of every row: rows of one group are connected by links of
     `similarity` or more."""
     rows = cut(_sketches(docs, id_col, text_col, width))
-    distinct = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("id").alias("id"), F.first("n").alias("n"))
+    distinct = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("row").alias("row"), F.first("n").alias("n"))
     distinct = cut(distinct.where("n > 0").withColumn("v", F.monotonically_increasing_id()))
 
     def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,17 +248,19 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     met = distinct.select("v", "fp", "keys").mapInArrow(released(banded), "key long, v long, fp binary")
     n_groups = max(1, BANDS * distinct.count() // GROUP_ROWS)
-    hot = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS).select("key", F.ceil(F.col("n") / (SPLIT_ROWS // 2)).cast("int").alias("parts"))
-    dealt = _spread(met, "key", "v", hot).withColumn("bucket", F.when(F.col("hot"), F.col("key")).otherwise(F.pmod("key", F.lit(n_groups)))).select("bucket", "hot", "p", "q", "part", "key", "v", "fp")
-    candidates = cut(components(dealt.groupBy("bucket", "hot", "p", "q").applyInArrow(_candidates, "a long, b long")).withColumnsRenamed({"vertex": "v", "root": "candidate"}))
+    hot = met.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("b")).where(F.col("n") > SPLIT_ROWS).select("key", "b")
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = met.withColumn("salt", salt).join(salted, ["key", "salt"], "left")
+    near = dealt.where("b is null").select(F.pmod("key", F.lit(n_groups)).alias("bucket"), "key", "v", "fp").groupBy("bucket").applyInArrow(_candidates, "a long, b long")
+    candidates = cut(components(near.unionByName(dealt.where("b is not null").select(F.col("v").alias("a"), "b"))).withColumnsRenamed({"vertex": "v", "root": "candidate"}))
 
     # The texts of candidates only: one for each shingle set.
-    chosen = distinct.join(candidates, "v").select("id", "digest", "v", "candidate", "n")
-    sizes = cut(chosen.groupBy("candidate").agg((8 * F.sum("n") + 64 * F.count("*")).alias("size")))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    chosen = distinct.join(candidates, "v").select("row", "digest", "v", "candidate", "n")
+    sizes = cut(chosen.groupBy("candidate").agg((8 * F.sum("n") + 64 * F.count("*")).alias("size"), F.count("*").alias("rows")))
+    total, largest = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     n_groups = max(1, int(total) // GROUP_BYTES)
-    wanted = chosen.select(F.col("id").alias("of"), "digest", "v", "candidate")
-    texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("of")))
+    texts = _rows(docs, id_col, text_col).join(chosen.select("row", "digest", "v", "candidate"), "row")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
@@ -267,29 +269,63 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for i, (x, digest) in enumerate(zip(b.column(0), b.column(1).to_pylist(), strict=True)):
                 if digest not in done:
                     raw = shingle_set(x.as_py(), width).tobytes()
-                    if xxhash.xxh3_128_digest(raw) == digest:  # rows of one id can have different texts
-                        done.add(digest)
-                        rows.append(i)
-                        sets.append(raw)
+                    done.add(digest)  # equal rows have one key
+                    rows.append(i)
+                    sets.append(raw)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(3).take(at), pa.array(sets, pa.binary())], names=["v", "candidate", "hashes"])
 
     hashes = texts.select("text", "digest", "v", "candidate").mapInArrow(released(hashed), "v long, candidate long, hashes binary")
-    hot = sizes.where(F.col("size") > GROUP_BYTES).select("candidate", F.ceil(F.col("size") / (GROUP_BYTES // 2)).cast("int").alias("parts"))
-    dealt = _spread(hashes, "candidate", "v", hot).withColumn("bucket", F.when(F.col("hot"), F.xxhash64("candidate")).otherwise(F.pmod(F.xxhash64("candidate"), F.lit(n_groups))))
-
-    def verify(t: pa.Table) -> pa.Table:
-        _, first = np.unique(t["v"].to_numpy(), return_index=True)  # tasks may each have sent a copy's set
-        t = t.take(pa.array(first)).sort_by("candidate")
-        names, group, part = t["v"].to_numpy(), t["candidate"].to_numpy(), t["part"].to_numpy()
-        whole = t["p"][0].as_py() == t["q"][0].as_py()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"]]
+
+    def linked(t: pa.Table, by: str) -> pa.Table:
+        t = t.sort_by([(by, "ascending"), ("v", "ascending"), ("side", "ascending")])
+        names, group, side = t["v"].to_numpy(), t[by].to_numpy(), t["side"].to_numpy()
+        again = np.append(False, (names[1:] == names[:-1]) & (group[1:] == group[:-1]) & (side[1:] == side[:-1]))  # tasks may each have sent a copy's set
+        at = np.flatnonzero(~again)
+        names, group, side = names[at], group[at], side[at]
+        sets = [np.frombuffer(t["hashes"][i].as_buffer(), np.uint64) for i in at.tolist()]
         edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-        label = np.concatenate([i + exact_links(sets[i:j], part[i:j], whole, similarity) for i, j in zip(edges, edges[1:])])
+        label = np.concatenate([i + exact_links(sets[i:j], side[i:j], similarity) for i, j in zip(edges, edges[1:])])
         some = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(names[some]), "b": pa.array(names[label[some]])})
 
-    links = dealt.select("bucket", "hot", "p", "q", "part", "v", "candidate", "hashes").groupBy("bucket", "hot", "p", "q").applyInArrow(verify, "a long, b long")
+    def within(rows: DataFrame) -> DataFrame:
+        """Links among rows of one candidate component, some components to a task."""
+        dealt = rows.select(F.pmod(F.xxhash64("candidate"), F.lit(n_groups)).alias("bucket"), "candidate", "v", F.lit(0).alias("side"), "hashes")
+        return dealt.groupBy("bucket").applyInArrow(lambda t: linked(t, "candidate"), "a long, b long")
+
+    def between(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Links between left and right rows (candidate, p, q, v, hashes) of equal candidate, p and q."""
+        both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+        return both.groupBy("candidate", "p", "q").applyInArrow(lambda t: linked(t, "candidate"), "a long, b long")
+
+    if largest <= GROUP_BYTES:
+        links = within(hashes)
+    else:
+        links = _large(hashes, sizes, within, between)
     roots = cut(components(links).withColumnRenamed("vertex", "v"))
     known = distinct.select("digest", "v").join(roots, "v", "left").select("digest", F.coalesce("root", "v").alias("group"))
     return rows.select("id", "digest").join(known, "digest", "left").select("id", "group")
+
+
+def _large(hashes: DataFrame, sizes: DataFrame, within: Callable[[DataFrame], DataFrame], between: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Links where some candidate components are too large for a task."""
+    half = GROUP_BYTES / 2
+    place = lambda parts: F.pmod(F.xxhash64("v"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    hot = sizes.where(F.col("size") > GROUP_BYTES).select("candidate", "rows", F.ceil(F.col("size") / half).cast("int").alias("parts"))
+    rows = cut(hashes.join(hot, "candidate", "left"))
+    own = rows.where("parts is not null").withColumn("q", place("parts"))
+    leaders = own.where(F.pmod(F.xxhash64("v", F.lit("leader")), F.lit(1 << 30)) < F.lit(LEADERS << 30) / F.col("rows"))
+    columns = ["candidate", "p", "q", "v", "hashes"]
+    first = between(leaders.drop("q").withColumns({"p": F.lit(0), "q": every("parts")}).select(columns), own.withColumn("p", F.lit(0)).select(columns))
+    first = cut(first.unionByName(within(rows.where("parts is null"))))
+    labels = components(first).withColumnRenamed("vertex", "v")
+    labelled = cut(own.select("candidate", "v", "parts", F.octet_length("hashes").alias("size")).join(labels, "v", "left").withColumn("root", F.coalesce("root", "v")))
+    most = labelled.groupBy("candidate", "root").agg(F.count("*").alias("n")).groupBy("candidate").agg(F.max(F.struct("n", "root")).alias("most")).select("candidate", F.col("most.root").alias("main"))
+    # Rows outside their component's largest group meet all rows of the component.
+    outside = cut(labelled.join(most, "candidate").where("root != main").select("candidate", "v", "size"))
+    some = outside.groupBy("candidate").agg(F.ceil((F.sum("size") + 64 * F.count("*")) / half).cast("int").alias("others"))
+    left = own.drop("q").join(outside.select("v"), "v", "left_semi").join(some, "candidate").withColumns({"p": place("others"), "q": every("parts")}).select(columns)
+    right = own.join(some, "candidate").withColumn("p", every("others")).select(columns)
+    return first.unionByName(between(left, right))
