@@ -148,7 +148,7 @@ class PieceEncoder:
         self.direct = not separable(self.model) or self.model["charsmap"] or self.model["squeeze"]
         self.cache = UnitCache(self._encode)
         self.split = re.compile(UNIT).findall
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in self.model["pieces"]]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model["pieces"]]
 
     def _batch(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -193,8 +193,11 @@ class PieceEncoder:
         yield from self._batch(self.tokenizer, held)
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.model["dummy_prefix"] and text[:1] == " " else text
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        return raw[1:] if self.model["dummy_prefix"] and raw[:1] == b" " else raw
 
 
 _HELD: dict[str, tuple] = {}
@@ -224,7 +227,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 theirs = other.encode(text)
                 parity = array("I", theirs).tobytes() == raw
                 got = theirs if parity else np.frombuffer(raw, "<u4").tolist()
-                for col, v in zip(out, (len(got), zlib.crc32(raw), parity, enc.decode(got) == text), strict=True):
+                for col, v in zip(out, (len(got), zlib.crc32(raw), parity, enc.decode_bytes(got) == text.encode("utf-8", "surrogatepass")), strict=True):
                     col.append(v)
                 if with_ids:
                     raws.append(raw)

@@ -35,7 +35,7 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r0-9
 #: Units kept by a worker, at most about 60 MB; places of the marks that tell whether a unit was met before.
 CACHE, MARKS = 200_000, 1 << 22
 #: Bytes of text that are split at once; units that are encoded at once.
-BLOCK, TOGETHER = 1 << 20, 2048
+BLOCK, TOGETHER = 2 << 20, 2048
 
 
 class UnitCache:
@@ -171,7 +171,7 @@ def in_blocks(texts: Iterable[str], is_plain: Callable[[str], object], plain: Ca
     size = 0
 
     def finish() -> Iterator[bytes]:
-        made = plain(held) if held else iter(())
+        made = iter(plain(held) if held else ())
         for x in done:
             yield next(made) if x is None else x
 
