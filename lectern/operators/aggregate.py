@@ -174,3 +174,9 @@ def convention_shares(summary: DataFrame) -> DataFrame:
         (enough & ((c("n") * 4 >= c("total")) | (c("n") >= P.MIN_STRUCTURE_CARDS))).alias("common"),
         ((c("total") > 0) & (c("n") * 5 >= c("total") * 4)).alias("universal"),
     )
+
+
+def share_texts(shares: DataFrame) -> DataFrame:
+    """convention, share: a count and its share as text, thousands set apart."""
+    number = lambda x: F.format_number(c(x), 0)
+    return shares.select("convention", F.concat(number("n"), F.lit(" of "), number("total"), F.lit(" cards ("), c("pct").cast("string"), F.lit("%)")).alias("share"))

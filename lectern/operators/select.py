@@ -77,6 +77,12 @@ def apply_pins(ranked: DataFrame, pinned_files: DataFrame) -> DataFrame:
     return numbered(joined, [F.desc("pinned"), F.asc("rank")], "place")
 
 
+def without(cards: DataFrame, removed_files: DataFrame) -> DataFrame:
+    """Cards but those whose source_file was removed; an empty name removes nothing."""
+    gone = removed_files.where("source_file != ''").select("source_file").distinct()
+    return cards.join(gone, "source_file", "left_anti").select(*cards.columns)
+
+
 def structure_consistency(scored_cards: DataFrame) -> DataFrame:
     """cards, structured, agreeing_prefix, stable: how far down the ranking cards agree on sections.
 

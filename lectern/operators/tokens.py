@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,9 @@ def heuristic(text: str) -> int:
 
 
 def resolve(name: str | None) -> tuple[str, str | None, str]:
-    """Library, key and label of a tokenizer's name; an unknown name is the heuristic."""
+    """Library, key and label of a tokenizer's name; the path of a tokenizer's JSON file is one; an unknown name is the heuristic."""
+    if name and name.endswith(".json"):
+        return "file", name, f"{os.path.basename(name)} tokenizer"
     if name in PRESETS:
         return PRESETS[name]
     if name and name != "heuristic" and "/" in name:
@@ -60,7 +63,7 @@ def load(kind: str, key: str) -> tuple[object | None, str | None]:
             else:
                 from tokenizers import Tokenizer
 
-                tok = Tokenizer.from_pretrained(key)
+                tok = Tokenizer.from_file(key) if kind == "file" else Tokenizer.from_pretrained(key)
                 _held[kind, key] = (lambda t: len(tok.encode(t).ids)), None
         except ImportError:
             _held[kind, key] = None, f"`{kind}` not installed"

@@ -36,6 +36,7 @@ class Options:
     sort: str = "best"
     best: int | None = None
     pinned: tuple[str, ...] = ()
+    removed: tuple[str, ...] = ()
 
 
 def extract(spark: SparkSession, inputs: list[str], recursive: bool = True, any_case: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +64,9 @@ def corpus(scored: DataFrame, tags: bool = True) -> G.Corpus:
 
 
 def ordered(cards: DataFrame, o: Options) -> DataFrame:
-    """Scored cards with their place in the export (rank) and its length (total): sorted, cut to the best, pinned first."""
+    """Scored cards with their place in the export (rank) and its length (total): some removed, sorted, cut to the best, pinned first."""
+    if o.removed:
+        cards = R.without(cards, cards.sparkSession.createDataFrame([(x,) for x in o.removed], "source_file string"))
     scored = cut(R.scored(D.features(cards)))
     if o.best and o.best > 0:
         scored = cut(R.select_best(scored, o.best))

@@ -18,6 +18,7 @@ from ..operators import aggregate as A
 from ..operators import features as D
 from ..operators import render as K
 from ..operators import select as R
+from ..operators import tokens as T
 from ..sources import adapter, png
 from ..sources import cards as S
 from . import oracle as O
@@ -164,12 +165,10 @@ _add(
 _add("spec_versions", lambda s, d: A.spec_versions(adapter.cards(s, d)), O.with_cards("select spec_version, count(*)::bigint as cards from cards group by 1"))
 _add("top_bloat", lambda s, d: A.top_bloat(adapter.cards(s, d)), O.with_cards(f"select {O.TITLE} as card, bloat_chars_removed from cards where bloat_chars_removed > 0 order by bloat_chars_removed desc, ord limit 3"))
 _SHARES = " union all ".join(f"select '{k}' as convention, {k} as n, {v} as total from s" for k, v in A.SHARES.items())
-_add(
-    "convention_shares",
-    lambda s, d: A.convention_shares(A.conv_summary(_features(s, d))),
-    f"""with {O.CARDS}, s as ({O.SUMMARY}) select convention, n, total, case when total > 0 then {O.half_even('100 * n', 'total')} else 0 end as pct, total >= 3 and 2 * n >= total as dominant,
-      total >= 3 and (4 * n >= total or n >= 5) as common, total > 0 and 5 * n >= 4 * total as universal from ({_SHARES})""",
-)
+_SHARE_SQL = f"""with {O.CARDS}, s as ({O.SUMMARY}) select convention, n, total, case when total > 0 then {O.half_even('100 * n', 'total')} else 0 end as pct, total >= 3 and 2 * n >= total as dominant,
+      total >= 3 and (4 * n >= total or n >= 5) as common, total > 0 and 5 * n >= 4 * total as universal from ({_SHARES})"""
+_add("convention_shares", lambda s, d: A.convention_shares(A.conv_summary(_features(s, d))), _SHARE_SQL)
+_add("share_texts", lambda s, d: A.share_texts(A.convention_shares(A.conv_summary(_features(s, d)))), f"select convention, format('{{:,}} of {{:,}} cards ({{}}%)', n, total, pct) as share from ({_SHARE_SQL})")
 _add("truncation_ratio", lambda s, d: A.truncation_ratio(adapter.cards(s, d)), O.with_cards("select sum(least(length(description), 600))::bigint as shown, sum(length(description))::bigint as actual from cards"))
 
 # --- scores, ranks, selections --------------------------------------------------------------------------------------
@@ -200,6 +199,12 @@ def _pins(spark: SparkSession, d: str) -> DataFrame:
     return R.apply_pins(ranked.select("ord", "source_file", "rank"), pinned).select("ord", "pinned", "place")
 
 
+def _without(spark: SparkSession, d: str) -> DataFrame:
+    removed = adapter.base(spark, d).where("ord % 7 = 3").select("source_file")
+    return R.without(adapter.cards(spark, d), removed).select("ord", "source_file")
+
+
+_add("remove_cards", _without, O.with_cards("select ord, source_file from cards where ord % 7 <> 3"))
 _add("apply_pins", _pins, O.with_scores("select ord, ord % 97 = 5 as pinned, row_number() over (order by ord % 97 = 5 desc, rank)::bigint as place from ranked"))
 _add(
     "agreeing_prefix",
@@ -229,6 +234,18 @@ _add(
     lambda s, d: adapter.cards(s, d).select("ord", X.token_heuristic(c("description")).alias("description"), X.token_heuristic(c("first_mes")).alias("first_mes"), X.token_heuristic(c("mes_example")).alias("mes_example")),
     O.with_cards(f"select ord, {O.tokens('description')} as description, {O.tokens('first_mes')} as first_mes, {O.tokens('mes_example')} as mes_example from cards"),
 )
+
+
+def _exact_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by the tokenizers library, from a file at hand; without the files' package all counts are the heuristic."""
+    try:
+        from public_tokenizers import path
+    except ImportError:
+        return _table(spark, d, "documents").select("doc_id", T.tokens_of(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return _table(spark, d, "documents").select("doc_id", T.tokens_of(F.coalesce("text", F.lit("")), path("byte_bpe_50k.json")).alias("tokens"))
+
+
+_add("token_counts_exact", _exact_counts)
 for _form, _block in (("md", O.MD_BLOCK), ("compact", O.COMPACT_BLOCK)):
     _add(
         f"render_{_form}_blocks",

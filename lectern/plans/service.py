@@ -43,7 +43,7 @@ def _asked(spark: SparkSession, body: bytes) -> tuple[DataFrame, api.Options]:
     p = json.loads(body)
     o = api.Options(
         format=p.get("format", "md"), full=bool(p.get("full", False)), max_chars=p.get("max_chars", 600), full_top=int(p.get("full_top", 10) or 0), fields=p.get("fields", ["tags"]),
-        caps=p.get("field_caps") or {}, tokenizer=p.get("tokenizer", "heuristic"), sort=p.get("sort", "best") if p.get("sort", "best") in ("best", "name") else "file", pinned=tuple(x for x in p.get("pinned") or () if x),
+        caps=p.get("field_caps") or {}, tokenizer=p.get("tokenizer", "heuristic"), sort=p.get("sort", "best") if p.get("sort", "best") in ("best", "name") else "file", pinned=tuple(x for x in p.get("pinned") or () if x), removed=tuple(x for x in p.get("removed") or () if x),
     )
     if o.format not in ENDINGS:
         raise ValueError(f"unknown format {o.format!r}")

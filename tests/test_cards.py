@@ -299,3 +299,21 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         session.shared_dir(Session())
     monkeypatch.setattr(Context, "getCheckpointDir", lambda self: "hdfs://x/y")
     assert session.shared_dir(Session()) == "hdfs://x/y"
+
+
+def test_exact_counts_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["", "one", "Hello, wide world! " * 20, "é漢🎉\n\n  x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.tokens_of(F.col("t"), path).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(tok.encode(t).ids) for i, t in enumerate(texts)}
+    count = T.count_tokens(texts[2], path)
+    assert count.exact and count.method == "byte_bpe_50k.json tokenizer" and not T.count_tokens("a b", "/nowhere.json").exact
+
+
+def test_removed_cards(spark):
+    cards = frame(spark, [card(i, name=f"N{i}", source_file=f"{i}.png") for i in range(5)])
+    text = api.export(cards, api.Options("compact", removed=("1.png", "3.png", "9.png")))
+    assert "Name: N0" in text and "Name: N1" not in text and "CARD 3/3" in text
