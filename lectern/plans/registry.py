@@ -21,6 +21,7 @@ from ..operators import select as R
 from ..operators import tokens as T
 from ..sources import adapter, png
 from ..sources import cards as S
+from . import guidance as G
 from . import oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,6 +262,117 @@ _add("cards_json", lambda s, d: K.as_dict(_ranked(s, d), place="rank", cap=P.MAX
 _TRIP = ", ".join(f"{O.ROUNDTRIP.get(x, x)} as {x}" for x in (*ALIASES, "lorebook_entries"))
 _add("json_cards_roundtrip", lambda s, d: _flat(S.from_json(K.as_dict(adapter.cards(s, d))).drop("ord")), O.with_cards(f"select {_TRIP}, spec_version, '' as source_keyword, source_file, bloat_chars_removed from cards"))
 
+# --- lines of guidance, from the aggregates -------------------------------------------------------------------------------
+def _lines(make: Callable) -> Query:
+    """Rows (i, line) of what `make` says of the card view's corpus."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        from . import api
+        from .session import cut
+
+        found = make(api.corpus(cut(_scored(spark, d))))  # nine aggregates read it
+        return spark.createDataFrame(list(enumerate(found)), "i long, line string")
+
+    return query
+
+
+def _lines_sql(tables: str, lines: list[str], source: str) -> str:
+    """The lines that are not null, as rows (i, line); each is SQL over one row of `source`."""
+    return f"with {tables}, l as (select list_filter([{', '.join(lines)}], lambda x: x is not null) as l from {source}) select (i - 1)::bigint as i, l[i] as line from (select l, unnest(range(1, len(l) + 1)) as i from l)"
+
+
+_SUM = f"{O.CARDS}, s as ({O.SUMMARY})"
+_COVER = f"{O.CARDS}, c as (select count(*)::bigint as total, {', '.join(f'{O.count(O.present(f))} as {f}' for f in D.CORE)}, {O.count('len(tags) > 0')} as tags from feats)"
+_BOTH_SHAPES = "total_cards >= 3 and multi_character_cards not in (0, total_cards)"
+_add(
+    "guidance_cast",
+    _lines(G.cast_note),
+    _lines_sql(_SUM, [
+        f"case when {_BOTH_SHAPES} then '- Solo cards: ' || (total_cards - multi_character_cards) || '. Group cards: ' || multi_character_cards || '. Write whichever the request calls for.' end",
+        f"case when {_BOTH_SHAPES} then '- Length goes with the number of characters, so take it from cards of the same shape.' end",
+        f"case when {_BOTH_SHAPES} and per_character_block_cards > 0 then '- Full `<Name>` block for every character: ' || per_character_block_cards || ' of the group cards.' end",
+        f"case when {_BOTH_SHAPES} and npc_block_cards > 0 then '- One `<NPCs>` block for the minor figures: ' || npc_block_cards || ' of the group cards.' end",
+    ], "s"),
+)
+_add(
+    "guidance_coverage",
+    _lines(G.coverage_notes),
+    _lines_sql(_COVER, [f"case when total >= 3 and {f} = 0 then '- {label}: empty throughout (0/' || total || '), so these cards teach nothing about it.' end" for f, label in (("personality", "`Personality`"), ("mes_example", "`Example Dialogue`"), ("scenario", "`Scenario`"), ("tags", "Tags"))], "c"),
+)
+_add("guidance_absent_fields", _lines(G.absent_core_fields), _lines_sql(_COVER, [f"case when total >= 3 and {f} = 0 then '{label}' end" for f, label in G.LABELS.items()], "c"))
+
+
+def _field_sql(f: str, label: str) -> str:
+    known = f"exists (select 1 from feats, unnest(section_names) t(x) where sections and has_description and lower(trim(x)) = '{label.lower()}')"  # a section that any card has
+    return (
+        f"'{label}: ' || {f} || ' ' || case when total < 3 or {f} = total then '' when {f} = 0 and {known} then 'left empty everywhere, because Description has a section for it' when {f} = 0 then 'left empty everywhere; fill it only if the character needs it' "
+        f"when {f} < 0.25 * total then 'rare (' || {f} || '/' || total || '); fill it only if the character needs it' else 'filled in ' || {f} || '/' || total end"
+    )
+
+
+_add(
+    "guidance_fields",
+    _lines(lambda k: [f"{g['label']}: {g['count']} {g['note']}" for g in G.field_guidance(k)]),
+    _lines_sql(_COVER, [_field_sql(f, label) for f, label in G.LABELS.items() if f != "name"], "c"),
+)
+_AGREEING = """t as (select count(*)::bigint as cards, coalesce(sum(flag), 0)::bigint as structured, coalesce(max(case when 10 * cum >= 8 * n then n end), 0)::bigint as prefix, round(100.0 * sum(flag) / greatest(count(*), 1))::bigint as pct
+  from (select flag, sum(flag) over w as cum, row_number() over w as n from (select rank, case when sections then 1 else 0 end as flag from ranked where has_description) window w as (order by rank rows unbounded preceding)))"""
+_add(
+    "guidance_agreement",
+    _lines(lambda k: G.consistency_note(k.consistency)),
+    _lines_sql(f"{O.SCORED}, {_AGREEING}", [
+        "case when cards between 1 and 19 then 'Too few described cards (' || cards || ', 20 are needed) to trust the section names above.' end",
+        "case when cards >= 20 and 10 * structured >= 8 * cards then 'One structure holds for ' || structured || ' of ' || cards || ' described cards (' || pct || '%): follow it.' end",
+        "case when cards >= 20 and 10 * structured < 8 * cards then 'The shared structure holds for ' || structured || ' of ' || cards || ' described cards (' || pct || '%), one way of several.' end",
+        "case when cards >= 20 and 10 * structured < 8 * cards and prefix >= 20 then 'Among the best ' || prefix || ' at least 80% have it: an export of those alone teaches it better.' end",
+    ], "t"),
+)
+_SPECS = "(select string_agg('v' || spec_version || ' ' || n, ', ' order by spec_version) from (select spec_version, count(*) as n from cards group by 1))"
+_TAG_ROWS = "select tag, count(*)::bigint as cards, min((ord, i)) as seen from (select ord, i, lower(trim(tags[i])) as tag from (select ord, tags, unnest(range(1, len(tags) + 1)) as i from cards)) where tag <> '' group by tag"
+_TAGS_SQL = "(select string_agg(tag || ' ' || cards, ', ' order by cards desc, seen) from (select * from ({}) order by cards desc, seen limit {}))"
+_TOKENS = "round_even(total_bloat_chars_removed / 4, 0)::bigint"
+_HEAVY = f"(select string_agg(card || ' (' || format('{{:,}}', bloat_chars_removed) || ')', ', ' order by bloat_chars_removed desc, ord) from (select {O.TITLE} as card, ord, bloat_chars_removed from cards where bloat_chars_removed > 0 order by bloat_chars_removed desc, ord limit 3))"
+_MIXED = "multi_character_cards > 0 and single_character_cards > 0"
+_LENGTHS = "min_description_chars || ' to ' || max_description_chars"
+_add(
+    "guidance_stats",
+    _lines(lambda k: G.stats_block(k).split("\n")),
+    _lines_sql(f"{O.CARDS}, t as ({_STATS})", [
+        "'- Number of cards: ' || count", f"case when {_MIXED} then '- Solo: ' || single_character_cards || ', group: ' || multi_character_cards end", f"'- Card versions: ' || {_SPECS}", f"'- Most used tags: ' || {_TAGS_SQL.format(_TAG_ROWS, 20)}",
+        f"case when max_description_chars > 0 then '- Description, in characters: ' || {_LENGTHS} || ', mean ' || avg_description_chars end", "case when cards_missing_description > 0 then '- Without a description: ' || cards_missing_description end",
+        f"case when total_bloat_chars_removed > 0 then '- Markup removed before export: ' || format('{{:,}}', total_bloat_chars_removed) || ' characters, about ' || format('{{:,}}', {_TOKENS}) || ' tokens, in ' || cards_with_bloat || ' of the cards' end",
+        f"case when total_bloat_chars_removed > 0 then '  Most of it in ' || {_HEAVY} end",
+    ], "t"),
+)
+_add(
+    "guidance_stats_compact",
+    _lines(lambda k: G.stats_block(k, compact=True).split(" | ")),
+    _lines_sql(f"{O.CARDS}, t as ({_STATS})", [
+        "'cards ' || count", f"case when {_MIXED} then 'solo ' || single_character_cards || ', group ' || multi_character_cards end", f"'versions ' || {_SPECS}", f"'tags ' || {_TAGS_SQL.format(_TAG_ROWS, 10)}",
+        f"case when max_description_chars > 0 then 'description ' || {_LENGTHS} || ' chars, mean ' || avg_description_chars end",
+        f"case when total_bloat_chars_removed > 0 then 'markup removed ' || total_bloat_chars_removed || ' chars (~' || {_TOKENS} || ' tokens) in ' || cards_with_bloat end",
+    ], "t"),
+)
+_add("guidance_style", _lines(G.convention_lines))
+_add("guidance_template", _lines(lambda k: G.template(k).split("\n")))
+
+
+def _warning(spark: SparkSession, d: str) -> DataFrame:
+    """What is said of a document of all texts' tokens."""
+    r = _table(spark, d, "documents").agg(F.sum(X.token_heuristic(c("text"))).alias("tokens"), F.count("*").alias("cards")).first()
+    return spark.createDataFrame(list(enumerate(G.context_warning(r["tokens"], r["cards"]))), "i long, line string")
+
+
+_add(
+    "context_warning",
+    _warning,
+    _lines_sql(f"t as (select sum({O.tokens('text')})::bigint as tokens, count(*)::bigint as cards from documents)", [
+        "case when tokens > 128000 then format('Long export: {:,} tokens, {:.1f} times a context of 128,000. What shortens it:', tokens, tokens / 128000.0) end",
+        "case when tokens > 128000 then '    --full-top 15    15 cards complete, the others cut at --max-chars' end",
+        "case when tokens > 128000 and cards > 40 then '    --best 40        40 of the ' || cards || ' cards' end",
+    ], "t"),
+)
+
 # --- payloads ----------------------------------------------------------------------------------------------------------
 #: Chunks of three keywords' worth for each document, with its whole text (jtext: as JSON), as SQL for both engines; the third
 #: repeats the first's keyword.
