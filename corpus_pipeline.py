@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import packing, pii, quality, similar, suffixes
-from lectern.llm._shared import column, new_path, row_key
+from lectern.llm._shared import column, new_path, remove, row_key
 from lectern.plans.session import ship
 
 
@@ -99,10 +99,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again. A stage's folder goes once the next one is written; the last
+    folder stays, as the result is read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            remove(spark, done)
+        done = path
     return STAGES[-1][1](spark, docs, sf_dir)
