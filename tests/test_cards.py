@@ -200,7 +200,7 @@ def test_estimate(spark):
 def test_guidance_rules(spark):
     c = api.corpus(R.scored(D.features(corpus_of(spark, 8, 92))))
     s = G.style_sections(c)
-    assert any("Structured dossier" in x and "8 of 100 cards (8%)" in x for x in s["approaches"])
+    assert any("named sections" in x and "8 of 100 cards (8%)" in x for x in s["approaches"])
     assert G.description_skeleton(c).startswith("<Name>\n>Appearance\n+ ")
     assert {g["field"]: bool(g["note"]) for g in G.field_guidance(c)} == {"description": False, "personality": True, "scenario": True, "first_mes": False, "mes_example": True}
     assert G.cast_note(c) == [] and G.context_warning(10, 5) == [] and len(G.context_warning(400_000, 113)) == 3
