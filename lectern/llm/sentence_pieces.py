@@ -18,13 +18,14 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from ._shared import column, released, table
+from ._shared import column, release, released, table
 from .word_tokens import BLOCK, TOGETHER, UnitCache, encode_units, in_blocks, split_ids
 
 MARK = "▁"
@@ -144,12 +145,17 @@ class PieceEncoder:
         # Threads of the library's batches; it was not used in this process before, so they are safe after the fork.
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model = parse_model(raw)
-        self.tokenizer, self.units = build(self.model), build(self.model, normalise=False)
+        self.units = build(self.model, normalise=False)
         self.direct = not separable(self.model) or self.model["charsmap"] or self.model["squeeze"]
         self.cache = UnitCache(self._encode)
         self.split = re.compile(UNIT).findall
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model["pieces"]]
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """For whole texts; made where they are met."""
+        return build(self.model)
+
     def _batch(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -210,6 +216,7 @@ def _held(path: str) -> tuple:
         with open(path, "rb") as f:
             raw = f.read()
         _HELD[path] = PieceEncoder(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+        release()
     return _HELD[path]
 
 
