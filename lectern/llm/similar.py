@@ -256,11 +256,10 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     candidates = cut(components(near.unionByName(dealt.where("b is not null").select(F.col("v").alias("a"), "b"))).withColumnsRenamed({"vertex": "v", "root": "candidate"}))
 
     # The texts of candidates only: one for each shingle set.
-    chosen = distinct.join(candidates, "v").select("row", "digest", "v", "candidate", "n")
+    chosen = cut(distinct.join(candidates, "v").select("row", "digest", "v", "candidate", "n"))
     sizes = cut(chosen.groupBy("candidate").agg((8 * F.sum("n") + 64 * F.count("*")).alias("size"), F.count("*").alias("rows")))
     total, largest = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     n_groups = max(1, int(total) // GROUP_BYTES)
-    texts = _rows(docs, id_col, text_col).join(chosen.select("row", "digest", "v", "candidate"), "row")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
@@ -275,11 +274,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(3).take(at), pa.array(sets, pa.binary())], names=["v", "candidate", "hashes"])
 
-    hashes = texts.select("text", "digest", "v", "candidate").mapInArrow(released(hashed), "v long, candidate long, hashes binary")
+    def hashes_of(some: DataFrame) -> DataFrame:
+        """v, candidate, hashes of chosen rows."""
+        texts = _rows(docs, id_col, text_col).join(some.select("row", "digest", "v", "candidate"), "row")
+        return texts.select("text", "digest", "v", "candidate").mapInArrow(released(hashed), "v long, candidate long, hashes binary")
 
-    def linked(t: pa.Table, by: str) -> pa.Table:
-        t = t.sort_by([(by, "ascending"), ("v", "ascending"), ("side", "ascending")])
-        names, group, side = t["v"].to_numpy(), t[by].to_numpy(), t["side"].to_numpy()
+    def linked(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("candidate", "ascending"), ("v", "ascending"), ("side", "ascending")])
+        names, group, side = t["v"].to_numpy(), t["candidate"].to_numpy(), t["side"].to_numpy()
         again = np.append(False, (names[1:] == names[:-1]) & (group[1:] == group[:-1]) & (side[1:] == side[:-1]))  # tasks may each have sent a copy's set
         at = np.flatnonzero(~again)
         names, group, side = names[at], group[at], side[at]
@@ -292,40 +294,38 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def within(rows: DataFrame) -> DataFrame:
         """Links among rows of one candidate component, some components to a task."""
         dealt = rows.select(F.pmod(F.xxhash64("candidate"), F.lit(n_groups)).alias("bucket"), "candidate", "v", F.lit(0).alias("side"), "hashes")
-        return dealt.groupBy("bucket").applyInArrow(lambda t: linked(t, "candidate"), "a long, b long")
+        return dealt.groupBy("bucket").applyInArrow(linked, "a long, b long")
 
     def between(left: DataFrame, right: DataFrame) -> DataFrame:
         """Links between left and right rows (candidate, p, q, v, hashes) of equal candidate, p and q."""
         both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-        return both.groupBy("candidate", "p", "q").applyInArrow(lambda t: linked(t, "candidate"), "a long, b long")
+        return both.groupBy("candidate", "p", "q").applyInArrow(linked, "a long, b long")
 
+    hot = sizes.where(F.col("size") > GROUP_BYTES).select("candidate", "rows", F.ceil(F.col("size") / (GROUP_BYTES / 2)).cast("int").alias("parts"))
     if largest <= GROUP_BYTES:
-        links = within(hashes)
+        links = within(hashes_of(chosen))
     else:
-        links = _large(hashes, sizes, within, between)
+        links = within(hashes_of(chosen.join(hot, "candidate", "left_anti")))
+        links = links.unionByName(_large(cut(hashes_of(chosen.join(hot, "candidate", "left_semi")).join(hot, "candidate")), between))
     roots = cut(components(links).withColumnRenamed("vertex", "v"))
     known = distinct.select("digest", "v").join(roots, "v", "left").select("digest", F.coalesce("root", "v").alias("group"))
     return rows.select("id", "digest").join(known, "digest", "left").select("id", "group")
 
 
-def _large(hashes: DataFrame, sizes: DataFrame, within: Callable[[DataFrame], DataFrame], between: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Links where some candidate components are too large for a task."""
-    half = GROUP_BYTES / 2
+def _large(rows: DataFrame, between: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Links within candidate components that are too large for a task: rows have candidate, rows (of it), parts, v, hashes."""
     place = lambda parts: F.pmod(F.xxhash64("v"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    hot = sizes.where(F.col("size") > GROUP_BYTES).select("candidate", "rows", F.ceil(F.col("size") / half).cast("int").alias("parts"))
-    rows = cut(hashes.join(hot, "candidate", "left"))
-    own = rows.where("parts is not null").withColumn("q", place("parts"))
+    own = rows.withColumn("q", place("parts"))
     leaders = own.where(F.pmod(F.xxhash64("v", F.lit("leader")), F.lit(1 << 30)) < F.lit(LEADERS << 30) / F.col("rows"))
     columns = ["candidate", "p", "q", "v", "hashes"]
-    first = between(leaders.drop("q").withColumns({"p": F.lit(0), "q": every("parts")}).select(columns), own.withColumn("p", F.lit(0)).select(columns))
-    first = cut(first.unionByName(within(rows.where("parts is null"))))
+    first = cut(between(leaders.drop("q").withColumns({"p": F.lit(0), "q": every("parts")}).select(columns), own.withColumn("p", F.lit(0)).select(columns)))
     labels = components(first).withColumnRenamed("vertex", "v")
     labelled = cut(own.select("candidate", "v", "parts", F.octet_length("hashes").alias("size")).join(labels, "v", "left").withColumn("root", F.coalesce("root", "v")))
     most = labelled.groupBy("candidate", "root").agg(F.count("*").alias("n")).groupBy("candidate").agg(F.max(F.struct("n", "root")).alias("most")).select("candidate", F.col("most.root").alias("main"))
     # Rows outside their component's largest group meet all rows of the component.
     outside = cut(labelled.join(most, "candidate").where("root != main").select("candidate", "v", "size"))
-    some = outside.groupBy("candidate").agg(F.ceil((F.sum("size") + 64 * F.count("*")) / half).cast("int").alias("others"))
+    some = outside.groupBy("candidate").agg(F.ceil((F.sum("size") + 64 * F.count("*")) / (GROUP_BYTES / 2)).cast("int").alias("others"))
     left = own.drop("q").join(outside.select("v"), "v", "left_semi").join(some, "candidate").withColumns({"p": place("others"), "q": every("parts")}).select(columns)
     right = own.join(some, "candidate").withColumn("p", every("others")).select(columns)
     return first.unionByName(between(left, right))

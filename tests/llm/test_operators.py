@@ -939,7 +939,7 @@ def changed(text, seed, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("limits", [{}, {"SPLIT_ROWS": 8, "GROUP_BYTES": 4000, "TILE": 4, "COLUMNS": 64}])
+@pytest.mark.parametrize("limits", [{}, {"SPLIT_ROWS": 8, "GROUP_BYTES": 4000, "TILE": 4, "COLUMNS": 64, "LEADERS": 2}])
 def test_similar_documents(spark, limits, monkeypatch):
     """Groups equal those of all pairs' similarities, for pairs around the threshold, chains, hot groups and short texts."""
     for k, v in limits.items():
