@@ -42,20 +42,21 @@ class UnitCache:
     """Ids of units of text, by their bytes. A unit stays once two blocks had it, so that the many that occur once take no room."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]) -> None:
-        self.encode, self.kept, self.met = encode, {}, bytearray(MARKS)
+        self.encode, self.kept, self.met = encode, {}, np.zeros(MARKS, np.bool_)
 
     def ids(self, units: list[bytes]) -> list[bytes]:
-        seen = set(units)
-        new = list(seen.difference(self.kept))
         if len(self.kept) > CACHE:
-            self.kept = {x: self.kept[x] for x in seen.intersection(self.kept)}
-        self.kept.update(zip(new, self.encode([x.decode() for x in new]), strict=True))
-        out = list(map(self.kept.__getitem__, units))
-        for x in new:
-            place = hash(x) & (MARKS - 1)
-            if not self.met[place]:
-                self.met[place] = 1
-                del self.kept[x]
+            self.kept = {x: self.kept[x] for x in units if x in self.kept}
+        out = list(map(self.kept.get, units))
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = list(dict.fromkeys([units[i] for i in missing]))
+        fresh = dict(zip(new, self.encode([x.decode() for x in new]), strict=True))
+        for i in missing:
+            out[i] = fresh[units[i]]
+        place = np.fromiter(map(hash, new), np.int64, len(new)) & (MARKS - 1)
+        for i in np.flatnonzero(self.met[place]).tolist():
+            self.kept[new[i]] = fresh[new[i]]
+        self.met[place] = True
         return out
 
 
